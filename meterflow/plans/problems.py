@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.asof import stamped_versions
 from ..operators.dedup import surplus_copies
 from ..operators.grid import regular_grid
+from ..operators.history import attribute_history
 from ..operators.late import corrected_hours, late_state
 from ..operators.spikes import implausible_readings
 from ..session import table
@@ -33,6 +35,31 @@ def p4_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regular_grid(table(spark, sf_dir, "meter_events")).withColumnRenamed("meter", "meter_id")
 
 
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    master = table(spark, sf_dir, "machine_master")
+    return attribute_history(master, "machine_id", "snapshot_date", "exported_at", ["hall_id", "meter_id", "meter_serial"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history(spark, sf_dir).select("machine_id", "valid_from", "valid_to")
+
+
+def p5_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history(spark, sf_dir)
+
+
+def _stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stamped_versions(table(spark, sf_dir, "energy_cost_hourly"), table(spark, sf_dir, "machine_versions"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stamped(spark, sf_dir).where(~F.col("is_right")).select("cost_id")
+
+
+def p7_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stamped(spark, sf_dir)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = late_state(table(spark, sf_dir, "meter_events"))
     late = state.groupBy("meter", "hour").agg(F.sum("late").alias("late")).where("late > 0")
@@ -43,7 +70,7 @@ def p6_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrected_hours(late_state(table(spark, sf_dir, "meter_events"))).withColumnRenamed("meter", "meter_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_cases, p3_found, p4_found, p4_grid, p6_found, p6_hours)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_cases, p3_found, p4_found, p4_grid, p5_found, p5_versions, p6_found, p6_hours, p7_found, p7_versions)}
 
 _KEPT = """
   SELECT * EXCLUDE (rn) FROM (
@@ -59,7 +86,40 @@ _SLOTS = """
     AND coalesce(opc_status, '') <> 'Bad' GROUP BY ALL
 """
 
+_PLAIN = "CASE WHEN upper(trim({0})) NOT IN ('', 'N/A') THEN upper(trim({0})) END"
+
+_HISTORY = f"""
+  WITH n AS (
+    SELECT upper(trim(machine_id)) AS machine_id, exported_at,
+           coalesce(try_strptime(trim(snapshot_date), '%Y-%m-%d'), try_strptime(trim(snapshot_date), '%Y%m%d'),
+                    try_strptime(trim(snapshot_date), '%d.%m.%Y')) AS day,
+           {_PLAIN.format("hall_id")} AS hall_id, {_PLAIN.format("meter_id")} AS meter_id,
+           {_PLAIN.format("meter_serial")} AS meter_serial
+    FROM machine_master WHERE machine_id IS NOT NULL),
+  l AS (SELECT *, row_number() OVER (PARTITION BY machine_id, day ORDER BY exported_at DESC NULLS LAST, hall_id DESC NULLS LAST,
+                                     meter_id DESC NULLS LAST, meter_serial DESC NULLS LAST) AS rn FROM n WHERE day IS NOT NULL),
+  c AS (SELECT *, lag(machine_id) OVER w IS NULL OR lag(hall_id) OVER w IS DISTINCT FROM hall_id
+                  OR lag(meter_id) OVER w IS DISTINCT FROM meter_id OR lag(meter_serial) OVER w IS DISTINCT FROM meter_serial AS b
+        FROM l WHERE rn = 1 WINDOW w AS (PARTITION BY machine_id ORDER BY day))
+  SELECT machine_id, strftime(day, '%Y-%m-%d') AS valid_from,
+         coalesce(strftime(lead(day) OVER (PARTITION BY machine_id ORDER BY day), '%Y-%m-%d'), '9999-12-31') AS valid_to,
+         hall_id, meter_id, meter_serial FROM c WHERE b
+"""
+
+_RIGHT = """
+  WITH o AS (SELECT machine_sk, max(upper(trim(machine_id))) AS m FROM machine_versions WHERE machine_sk IS NOT NULL GROUP BY 1),
+  r AS (SELECT c.cost_id, arg_max(v.machine_sk, (v.valid_from, v.recorded_at, v.machine_sk)) AS right_sk
+        FROM energy_cost_hourly c JOIN o USING (machine_sk) JOIN machine_versions v ON upper(trim(v.machine_id)) = o.m
+         AND v.valid_from <= c.hour_start_utc AND v.recorded_at <= c.hour_start_utc GROUP BY 1)
+  SELECT c.cost_id, c.machine_sk, r.right_sk, coalesce(c.machine_sk = r.right_sk, false) AS is_right
+  FROM energy_cost_hourly c LEFT JOIN r USING (cost_id)
+"""
+
 SQL = {
+    "p5_found": f"SELECT machine_id, valid_from, valid_to FROM ({_HISTORY})",
+    "p5_versions": _HISTORY,
+    "p7_found": f"SELECT cost_id FROM ({_RIGHT}) WHERE NOT is_right",
+    "p7_versions": _RIGHT,
     "p3_found": """
       SELECT ingest_id FROM (
         SELECT ingest_id, row_number() OVER (PARTITION BY upper(trim(meter_id)), ts_source
