@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.asof import stamped_versions
 from ..operators.dedup import surplus_copies
+from ..operators.drift import schema_changes, unified_readings
 from ..operators.grid import regular_grid
 from ..operators.history import attribute_history
 from ..operators.late import corrected_hours, late_state
@@ -14,6 +15,17 @@ from ..operators.spikes import implausible_readings
 from ..session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = schema_changes(table(spark, sf_dir, "raw_records"), table(spark, sf_dir, "raw_files"))
+    return changes.select("file_id", "field_name", "change_kind")
+
+
+def p1_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unified_readings(table(spark, sf_dir, "raw_records"), table(spark, sf_dir, "raw_files")).withColumn(
+        "extras", F.to_json("extras")
+    )
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return implausible_readings(table(spark, sf_dir, "meter_events")).select("ingest_id")
 
@@ -70,7 +82,7 @@ def p6_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrected_hours(late_state(table(spark, sf_dir, "meter_events"))).withColumnRenamed("meter", "meter_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_cases, p3_found, p4_found, p4_grid, p5_found, p5_versions, p6_found, p6_hours, p7_found, p7_versions)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_readings, p2_found, p2_cases, p3_found, p4_found, p4_grid, p5_found, p5_versions, p6_found, p6_hours, p7_found, p7_versions)}
 
 _KEPT = """
   SELECT * EXCLUDE (rn) FROM (
