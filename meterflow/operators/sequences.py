@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import partitions, scratch_path
@@ -12,20 +12,22 @@ from ..session import partitions, scratch_path
 SLICE_US = 6 * 3600 * 1_000_000
 
 
-def numbered(df: DataFrame, source: str, micros: str, slice_us: int = SLICE_US) -> tuple[DataFrame, DataFrame]:
+def numbered(df: DataFrame, source: str, micros: str, *ties: str, slice_us: int = SLICE_US) -> tuple[DataFrame, DataFrame]:
     """``df`` with ``pos``, the 0-based position of a row in the time order of its source, and the sizes per source.
 
     No task ever orders a whole source: rows are ordered inside (source, time slice), and slice sizes, of which a
     source has no more than calendar slices, are accumulated. The ordered slices are written to the shared folder
     bucketed by (source, slice), so adding the offsets needs no further exchange of the rows.
 
-    ``micros`` must be unique per source and not null. Needs no helper column names of the caller.
+    Rows without source or time are left out. ``ties`` order rows of the same time and should make the order total.
+    Columns named time_slice, in_slice, offset, pos or rows are taken; callers project theirs first.
     """
     spark = df.sparkSession
     n, name = partitions(spark), f"slices_{uuid.uuid4().hex[:12]}"
-    window = Window.partitionBy(source, "time_slice").orderBy(micros)
+    window = Window.partitionBy(source, "time_slice").orderBy(micros, *ties)
     (
-        df.withColumn("time_slice", F.expr(f"{micros} div {slice_us}"))
+        df.where(F.col(source).isNotNull() & F.col(micros).isNotNull())
+        .withColumn("time_slice", F.expr(f"{micros} div {slice_us}"))
         .repartition(n, source, "time_slice")
         .withColumn("in_slice", F.row_number().over(window))
         .write.bucketBy(n, source, "time_slice")
@@ -53,3 +55,27 @@ def overlapping(df: DataFrame, block: int, halo: int) -> DataFrame:
         F.array(home, F.when((at < halo) & (home > 0), home - 1), F.when(at >= block - halo, home + 1))
     )
     return df.withColumn("block", F.explode(targets)).withColumn("own", F.col("block") == home)
+
+
+BLOCK = 4000
+
+
+def blocked(df: DataFrame, source: str, micros: str, *ties: str, halo: int = 1, block: int = BLOCK) -> DataFrame:
+    """``df`` cut into overlapping blocks of the time order of each source; see ``numbered`` and ``overlapping``."""
+    return overlapping(numbered(df, source, micros, *ties)[0], block, halo)
+
+
+def in_block(source: str) -> WindowSpec:
+    return Window.partitionBy(source, "block").orderBy("pos")
+
+
+def running_total(df: DataFrame, source: str, amount: str, name: str) -> DataFrame:
+    """Running sum of ``amount`` in the order of ``pos`` over the whole source, from own rows of blocks.
+
+    Sums run inside a block; what precedes a block is a prefix sum over the few blocks of the source.
+    """
+    rows = df.withColumn("partial_", F.sum(amount).over(in_block(source).rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = df.groupBy(source, "block").agg(F.sum(amount).alias("total_"))
+    before = Window.partitionBy(source).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("base_", F.coalesce(F.sum("total_").over(before), F.lit(0))).drop("total_")
+    return rows.join(blocks, [source, "block"]).withColumn(name, F.col("base_") + F.col("partial_")).drop("partial_", "base_")
