@@ -117,7 +117,7 @@ def assemble_stream(points: DataFrame, fields: list[str]) -> DataFrame:
         out = []
         for rows in batches:
             for us, name, value in zip(rows["us"].tolist(), rows["field"].tolist(), rows["value"].tolist(), strict=True):
-                if us < at or (us == at and not got and at >= 0 and name not in fields):
+                if us < at:
                     continue
                 if us > at:
                     at, got = us, {}
