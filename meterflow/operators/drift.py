@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .asof import salted_left_join
 
 CELLS = 24  # cells of a value sketch
@@ -236,7 +237,7 @@ def schema_changes(records: DataFrame, files: DataFrame, rules: DriftRules = Dri
     unknown files are ignored.
     """
     spark = records.sparkSession
-    rows = profiles(fields(spark, parsed(records), rules.depth), "file").withColumn("main", main_kind())
+    rows = written(profiles(fields(spark, parsed(records), rules.depth), "file").withColumn("main", main_kind()), "profiles")
     order = file_order(files).select("file", "previous")
     profile = F.struct(*_PROFILE, "main")
     now = rows.join(order.where("previous is not null").select("file"), "file").select("file", "name", profile.alias("now"))
@@ -254,7 +255,9 @@ def schema_changes(records: DataFrame, files: DataFrame, rules: DriftRules = Dri
         _match(rules), "file bigint, old_name string, new_name string"
     )
     renames = pairs.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("new_name", "old_name"))).alias("renames"))
-    settled = moved.join(renames, "file", "left").withColumn("renames", F.coalesce("renames", F.create_map().cast("map<string,string>")))
+    settled = written(
+        moved.join(renames, "file", "left").withColumn("renames", F.coalesce("renames", F.create_map().cast("map<string,string>"))), "changes"
+    )
 
     def side(column: str, kind: str, taken: Column) -> DataFrame:
         rest = settled.select("file", F.explode(F.filter(column, lambda x: ~F.array_contains(taken, x["name"]))).alias("x"))
