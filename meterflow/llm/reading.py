@@ -14,9 +14,9 @@ from .text import words
 
 BLOCK_DOCS = 4000  # documents whose edges one Python call holds
 ROUNDS = 5
-UNLABELLED = 0.05  # weight of a document without a label in the level of a word
-PRIOR = 1.0  # weight of the mean level in the level of a word
-SPREAD = 0.05  # a word counts in a document as 1 / (variance of its level + SPREAD)
+UNLABELLED = 0.3  # weight of all documents without a label together in the level of a word
+PRIOR = 0.3  # weight of the mean level in the level of a word
+SPREAD = 0.05  # a word counts in a document as 1 / (variance of its level + SPREAD) squared
 
 PARTIAL = "block bigint, word bigint, la double, lb double, lc double, ua double, ub double, uc double"
 PARTIAL_SCHEMA = pa.schema([("block", pa.int64()), ("word", pa.int64())] + [(c, pa.float64()) for c in ("la", "lb", "lc", "ua", "ub", "uc")])
@@ -68,17 +68,19 @@ class _Block:
             t[c] = np.zeros(len(self.words))
             t[c][at] = np.asarray(totals[c], float)
         b0, b1 = line
-        a = t["la"] + UNLABELLED * t["ua"]
-        b = t["lb"] + UNLABELLED * (b0 * t["ua"] + b1 * t["ub"])
-        c = t["lc"] + UNLABELLED * (b0 * b0 * t["ua"] + 2 * b0 * b1 * t["ub"] + b1 * b1 * t["uc"])
+        some = t["ua"] > 0
+        ub, uc = (np.where(some, t[c] / np.where(some, t["ua"], 1.0), 0.0) for c in ("ub", "uc"))
+        free = np.where(some, UNLABELLED, 0.0)
+        b = t["lb"] + free * (b0 + b1 * ub)
+        c = t["lc"] + free * (b0 * b0 + 2 * b0 * b1 * ub + b1 * b1 * uc)
         own = np.where(self.labelled, self.y, 0.0)[self.doc]
         mine = np.where(self.labelled[self.doc], self.value, 0.0)
-        ea, eb, ec = a[self.word] - mine, b[self.word] - mine * own, c[self.word] - mine * own * own
-        known = ea > 1e-9
-        ea = np.maximum(ea, 0.0) + PRIOR
-        m = (eb + PRIOR * mean) / ea
-        v = np.maximum((ec + PRIOR * (mean * mean + 2.0)) / ea - m * m, 0.0)
-        w = np.where(known, self.value / (v + SPREAD), 0.0)
+        a = np.maximum((t["la"] + free)[self.word] - mine, 0.0)
+        known = a > 1e-9
+        a = a + PRIOR
+        m = (b[self.word] - mine * own + PRIOR * mean) / a
+        v = np.maximum((c[self.word] - mine * own * own + PRIOR * (mean * mean + 2.0)) / a - m * m, 0.0)
+        w = np.where(known, self.value / (v + SPREAD) ** 2, 0.0)
         n = len(self.ids)
         z = np.bincount(self.doc, w, n)
         return np.where(z > 0, np.bincount(self.doc, w * m, n) / np.maximum(z, 1e-12), mean)
@@ -158,8 +160,9 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS
     """``doc_id``, ``score`` (continuous level), ``level`` (1 to 5) of each document with at least one word.
 
     Documents and their words form a bipartite graph. Graded documents are clamped to the mean of their raters; a word
-    takes the weighted mean level of its documents, a document that of its words, for ``rounds`` rounds. Words whose
-    documents agree count most. What a graded document is told leaves out its own grade, so a rater's error does not
+    takes the weighted mean level of its documents, a document that of its words, for ``rounds`` rounds. Ungraded
+    documents together weigh no more than a fraction of one grade in a word, or the few grades would drown in a large
+    corpus. Words whose documents agree count most. What a graded document is told leaves out its own grade, so a rater's error does not
     confirm itself, and the cut points between levels are fitted on such scores of all graded documents.
 
     The graph is held as blocks of documents, written once and bucketed by block. A round exchanges only sums per
