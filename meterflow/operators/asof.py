@@ -32,14 +32,15 @@ def as_known(events: DataFrame, versions: DataFrame) -> DataFrame:
     not end in one task, time is cut into slices and each (entity, slice) starts with the version carried into it,
     computed from the versions and the list of slices only.
 
-    Events without entity or time have no right version. Versions without entity or either time are never available.
+    Events without entity or time have no right version. Versions without entity, name or either time are never
+    available.
     Repeated events stay repeated.
     """
     slice_ = F.expr(f"us div {SLICE_US}")
     usable = F.col("entity").isNotNull() & F.col("us").isNotNull()
     placed = events.where(usable).withColumn("slice_", slice_)
     changes = versions.where(
-        F.col("entity").isNotNull() & F.col("valid_us").isNotNull() & F.col("known_us").isNotNull()
+        F.col("entity").isNotNull() & F.col("version").isNotNull() & F.col("valid_us").isNotNull() & F.col("known_us").isNotNull()
     ).select(
         "entity", F.greatest("valid_us", "known_us").alias("us"), F.struct("valid_us", "known_us", "version").alias("state_")
     )

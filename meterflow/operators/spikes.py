@@ -89,7 +89,7 @@ def implausible_readings(events: DataFrame, rules: SpikeRules = SpikeRules()) ->
     by = Window.partitionBy("meter", "block").orderBy("pos")
     whole = Window.partitionBy("meter", "block")
     first = by.rowsBetween(Window.unboundedPreceding, 0)
-    log = lambda c: F.log(F.greatest(c, F.lit(r.floor_kw)))
+    log = lambda c: F.when(c.isNotNull(), F.log(F.greatest(c, F.lit(r.floor_kw))))
     seen = placed.withColumns(
         {
             "cycle": F.first("cycle", ignorenulls=True).over(first),
@@ -136,7 +136,8 @@ def implausible_readings(events: DataFrame, rules: SpikeRules = SpikeRules()) ->
     fit = {f"{f}{k}": fits(f"e_{f}{k}", f"u_{f}{k}", "fe", "feu") if f == "lag" else fits("fe", "feu", f"e_{f}{k}", f"u_{f}{k}") for f in ("lag", "lead") for k in (1, 2)}
     between = fits("e_lag1", "u_lag1", "e_lead1", "u_lead1") & ((x < F.col("e_lag1")) | (x > F.col("e_lead1")))
     alone = ~fit["lag1"] & ~F.coalesce(fit["lag2"], F.lit(False)) & ~fit["lead1"] & ~F.coalesce(fit["lead2"], F.lit(False))
-    high = F.col("fp") > r.factor * F.greatest(F.coalesce("before", "after"), F.coalesce("after", "before"), F.lit(r.floor_kw))
+    sides = F.greatest("before", "after")  # null only if there is neither
+    high = sides.isNotNull() & (F.col("fp") > r.factor * F.greatest(sides, F.lit(r.floor_kw)))
     far = F.when(F.col("season").isNull(), F.lit(True)).otherwise(F.col("residual") > F.log(F.lit(r.factor)))
     z = F.abs("residual") / F.least(F.greatest("sigma", F.lit(0.02)), F.lit(r.max_sigma))
     judged = seen.where("own").select(
