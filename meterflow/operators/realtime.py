@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dedup import keep_first
-from .sequences import blocked, in_block, running_total
+from .sequences import blocked, in_block, numbered, running_total
 
 
 def _since(as_of: datetime, seconds: float) -> Column:
@@ -65,9 +65,30 @@ def run_status(readings: DataFrame, as_of: datetime, lookback_s: float, state: s
 
 
 def transitions(polls: DataFrame) -> DataFrame:
-    """Alerts that fire once: rows of (``machine_id``, ``poll``, ``alert``) where alert turns from false to true."""
-    before = F.lag("alert", 1, False).over(Window.partitionBy("machine_id").orderBy("poll"))
-    return polls.withColumn("was_", before).where("alert and not was_").drop("was_")
+    """Alerts that fire once: rows of (``machine_id``, ``poll``, ``alert``) where alert turns from false to true.
+
+    ``poll`` is a whole number that orders the polls of a machine. A null alert counts as false; ties of ``poll`` are
+    taken with false first.
+    """
+    rows = polls.select("machine_id", F.col("poll").cast("bigint").alias("poll"), F.coalesce("alert", F.lit(False)).alias("alert"))
+    placed = blocked(rows, "machine_id", "poll", "alert")
+    before = F.coalesce(F.lag("alert").over(in_block("machine_id")), F.lit(False))
+    return placed.withColumn("was", before).where("own and alert and not was").select("machine_id", "poll", "alert")
+
+
+def arrival_numbers(rows: DataFrame) -> DataFrame:
+    """0-based number of each delivery in the order its meter's deliveries reached the edge (ties: ``ingest_id``).
+
+    Deliveries without meter or arrival time have no number and are left out.
+    """
+    arrived = rows.select("meter", "ingest_id", F.unix_micros("ts_edge").alias("us"))
+    return numbered(arrived, "meter", "us", "ingest_id")[0].select("meter", "ingest_id", F.col("pos").alias("arrival_no"))
+
+
+def newest_first_out(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` newest deliveries, oldest of them first: a live feed that leaves its backlog behind."""
+    newest = rows.where("ts_edge is not null").orderBy(F.col("ts_edge").desc(), F.col("ingest_id").desc()).limit(n)
+    return newest.orderBy("ts_edge", "ingest_id")
 
 
 def park_power(readings: DataFrame, window_s: int = 60) -> DataFrame:

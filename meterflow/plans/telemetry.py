@@ -467,6 +467,18 @@ def alert_transitions(spark, d):
     return realtime.transitions(polls).select("machine_id", "poll")
 
 
+@query(f"""WITH {_D} SELECT meter, ingest_id, row_number() OVER (PARTITION BY meter ORDER BY epoch_us(ts_edge), ingest_id) - 1 AS arrival_no
+           FROM d WHERE meter IS NOT NULL AND ts_edge IS NOT NULL""")
+def arrival_numbers(spark, d):
+    return realtime.arrival_numbers(quality.deliveries(_events(spark, d)))
+
+
+@query(f"WITH {_D} SELECT ingest_id, epoch_us(ts_edge) AS edge_us FROM d WHERE ts_edge IS NOT NULL ORDER BY ts_edge DESC, ingest_id DESC LIMIT 50")
+def newest_deliveries(spark, d):
+    """Top-k report: the fifty newest deliveries."""
+    return realtime.newest_first_out(quality.deliveries(_events(spark, d)), 50).select("ingest_id", F.unix_micros("ts_edge").alias("edge_us"))
+
+
 @query(f"""WITH {_T}, a AS (SELECT machine_id, us // 900000000 * 900 AS window_epoch, avg(power_kw) AS kw FROM t
              WHERE machine_id IS NOT NULL AND power_kw IS NOT NULL AND NOT isnan(power_kw) GROUP BY 1, 2)
            SELECT CAST(window_epoch AS BIGINT) AS window_epoch, round(sum(kw), 1) AS park_kw, count(*) AS machines FROM a GROUP BY 1""")

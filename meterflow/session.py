@@ -10,6 +10,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Settings the plans are written for; the rest is left to the cluster.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.parquet.compression.codec": "zstd",
+}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 

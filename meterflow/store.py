@@ -112,6 +112,10 @@ class TableStore:
         pinned = json.loads(self._read_text(self._path("_frames", f"{frame}.json")))
         return {t: self.read(t, v) for t, v in pinned.items()}
 
+    def view(self, name: str, table: str, version: int | None = None) -> None:
+        """A name for a version of a table in the session's SQL; no data is copied."""
+        self.read(table, version).createOrReplaceTempView(name)
+
     # --- maintenance ---
 
     def detail(self, table: str) -> dict:
