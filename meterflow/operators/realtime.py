@@ -40,7 +40,7 @@ def recent_runs(readings: DataFrame, as_of: datetime, lookback_s: float, scale:
     rows = running_total(rows.withColumn("new", new).where("own"), "machine_id", "new", "run_id")
     return rows.groupBy("machine_id", "run_id").agg(
         F.min("us").alias("start_us"), F.max("us").alias("last_us"), F.min("state").alias("state"), F.count(F.lit(1)).alias("readings")
-    ).withColumn("duration_h", F.round((F.col("last_us") - F.col("start_us")) / 3.6e9 / scale, 2))
+    ).withColumn("duration_h", F.round((F.col("last_us") - F.col("start_us")) / 3.6e9 / scale + 1e-9, 2))
 
 
 def recent_runs_of(runs: DataFrame, state: str, threshold_h: float) -> DataFrame:
@@ -97,7 +97,7 @@ def park_power(readings: DataFrame, window_s: int = 60) -> DataFrame:
     start = F.expr(f"unix_micros(ts_source) div {width} * {window_s}")
     each = readings.where("machine_id is not null and ts_source is not null and power_kw is not null and not isnan(power_kw)").groupBy("machine_id", start.alias("window_epoch")).agg(F.avg("power_kw").alias("kw"))
     return each.groupBy("window_epoch").agg(
-        F.round(F.sum("kw"), 1).alias("park_kw"), F.count(F.lit(1)).alias("machines"), F.approx_count_distinct("machine_id").alias("machines_approx")
+        F.sum("kw").alias("park_kw"), F.count(F.lit(1)).alias("machines"), F.approx_count_distinct("machine_id").alias("machines_approx")
     )
 
 
@@ -109,7 +109,7 @@ def freshness(rows: DataFrame, as_of: datetime, lookback_s: float) -> DataFrame:
         F.count(F.lit(1)).alias("events"),
         F.count_distinct("meter", "ts_source").alias("measurements"),
         F.max("ts_source").alias("last"),
-        *[F.round(F.expr(f"percentile_disc({p}) within group (order by latency_s)"), 1).alias(f"p{int(p * 100)}_latency_s") for p in (0.5, 0.95)],
+        *[F.expr(f"percentile_disc({p}) within group (order by latency_s)").alias(f"p{int(p * 100)}_latency_s") for p in (0.5, 0.95)],
     )
     return out.select(
         "events", "measurements", (F.col("events") - F.col("measurements")).alias("duplicates"),

@@ -20,16 +20,37 @@ from ..store import TableStore
 RULES = Rules()
 LOOKBACK_S = 12 * 86400
 
-# Where a value may lie exactly between two rounded ones, 1e-9 is added on both sides before rounding.
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+def _nudged(text: str) -> str:
+    """SQL whose every ``round(x, n)`` is ``round(x + 1e-9, n)``.
+
+    Sums of decimals often lie exactly between two rounded values, where the last bit of a double decides. Both sides
+    round a value that is moved off that point.
+    """
+    out, stack = [], []
+    for i, c in enumerate(text):
+        if c == "(":
+            stack.append(text[max(0, i - 5) : i] == "round")
+        elif c == ")":
+            stack.pop()
+        elif c == "," and stack and stack[-1]:
+            out.append(" + 1e-9")
+        out.append(c)
+    return "".join(out)
+
+
+def _round(value, digits: int):
+    return F.round((F.col(value) if isinstance(value, str) else value) + 1e-9, digits)
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = _nudged(sql)
         return f
 
     return register
@@ -183,7 +204,7 @@ def checked_batch(spark, d):
 
 @query(f"""WITH {_L} SELECT ingest_id, interval_s, round(delta_kwh, 4) AS delta_kwh, counter_reset, counter_discontinuity, is_gap, interval_state FROM l""")
 def energy_deltas(spark, d):
-    return _deltas(spark, d).select("ingest_id", "interval_s", F.round("delta_kwh", 4).alias("delta_kwh"), "counter_reset", "counter_discontinuity", "is_gap", "interval_state")
+    return _deltas(spark, d).select("ingest_id", "interval_s", _round("delta_kwh", 4).alias("delta_kwh"), "counter_reset", "counter_discontinuity", "is_gap", "interval_state")
 
 
 @query(f"""WITH {_L} SELECT meter, count(*) FILTER (counter_reset) AS resets, count(*) FILTER (counter_discontinuity) AS discontinuities,
@@ -191,35 +212,35 @@ def energy_deltas(spark, d):
 def counter_events(spark, d):
     return _deltas(spark, d).groupBy("meter").agg(
         F.count_if("counter_reset").alias("resets"), F.count_if("counter_discontinuity").alias("discontinuities"),
-        F.count_if("is_gap").alias("gaps"), F.round(F.sum("delta_kwh"), 3).alias("kwh"),
+        F.count_if("is_gap").alias("gaps"), _round(F.sum("delta_kwh"), 3).alias("kwh"),
     )
 
 
 @query(f"WITH {_B} SELECT machine_id, CAST(bucket_epoch AS BIGINT) AS bucket_epoch, state, round(sum(kwh), 4) AS kwh, round(sum(seconds), 4) AS seconds FROM b GROUP BY 1, 2, 3")
 def bucket_energy(spark, d):
     parts = intervals.in_buckets(_deltas(spark, d), RULES)
-    return parts.groupBy("machine_id", "bucket_epoch", "state").agg(F.round(F.sum("kwh"), 4).alias("kwh"), F.round(F.sum("seconds"), 4).alias("seconds"))
+    return parts.groupBy("machine_id", "bucket_epoch", "state").agg(_round(F.sum("kwh"), 4).alias("kwh"), _round(F.sum("seconds"), 4).alias("seconds"))
 
 
-_FACT = "machine_id, bucket_epoch, date_key, slot_of_day, round(kwh, 4) AS kwh, round(avg_power_kw + 1e-9, 4) AS avg_power_kw, max_power_kw, readings, minutes_covered, round(completeness, 6) AS completeness, time_band"
+_FACT = "machine_id, bucket_epoch, date_key, slot_of_day, round(kwh, 4) AS kwh, round(avg_power_kw, 4) AS avg_power_kw, max_power_kw, readings, minutes_covered, round(completeness, 6) AS completeness, time_band"
 
 
 @query(f"WITH {_F} SELECT {_FACT} FROM f")
 def fact_energy_15min(spark, d):
-    return intervals.bucket_facts(_valid(spark, d), RULES).selectExpr(*_FACT.split(", ")[:4], "round(kwh, 4) AS kwh", "round(avg_power_kw + 1e-9, 4) AS avg_power_kw", "max_power_kw", "readings", "minutes_covered", "round(completeness, 6) AS completeness", "time_band")
+    return intervals.bucket_facts(_valid(spark, d), RULES).selectExpr(*_columns(_nudged(_FACT)))
 
 
 @query(f"""WITH {_B} SELECT machine_id, {_KEY.format('bucket_epoch')} AS date_key, state, round(sum(seconds) / 3600, 4) AS hours, round(sum(kwh), 4) AS kwh
            FROM b GROUP BY 1, 2, 3""")
 def state_energy_daily(spark, d):
-    return intervals.state_days(_valid(spark, d), RULES).select("machine_id", "date_key", "state", F.round("hours", 4).alias("hours"), F.round("kwh", 4).alias("kwh"))
+    return intervals.state_days(_valid(spark, d), RULES).select("machine_id", "date_key", "state", _round("hours", 4).alias("hours"), _round("kwh", 4).alias("kwh"))
 
 
 @query(f"""WITH {_B}, h AS (SELECT machine_id, state, sum(seconds) AS s FROM b GROUP BY 1, 2)
            SELECT machine_id, state, round(s / 3600, 3) AS hours, round(s / sum(s) OVER (PARTITION BY machine_id), 5) AS share FROM h""")
 def state_share(spark, d):
     hours = intervals.state_days(_valid(spark, d), RULES).groupBy("machine_id", "state").agg(F.sum("hours").alias("hours"))
-    return measures.share(hours, "hours", ["machine_id"], "share").select("machine_id", "state", F.round("hours", 3).alias("hours"), F.round("share", 5).alias("share"))
+    return measures.share(hours, "hours", ["machine_id"], "share").select("machine_id", "state", _round("hours", 3).alias("hours"), _round("share", 5).alias("share"))
 
 
 _RUN = "machine_id, run_id, state, start_us, end_us, last_us, job_id, readings, is_open, is_first, round(duration_h, 6) AS duration_h, round(kwh, 4) AS kwh, has_gap, prev_state, next_state, round(prev_kwh, 4) AS prev_kwh, round(next_kwh, 4) AS next_kwh, next_job_id"
@@ -239,7 +260,7 @@ def _columns(text: str) -> list[str]:
 
 @query(f"WITH {_R} SELECT {_RUN} FROM r")
 def state_runs(spark, d):
-    return _runs(spark, d).selectExpr(*_columns(_RUN))
+    return _runs(spark, d).selectExpr(*_columns(_nudged(_RUN)))
 
 
 _WARM = "machine_id, job_id, start_us, end_us, round(duration_h, 6) AS duration_h, is_long, round(kwh, 4) AS kwh, has_gap"
@@ -248,7 +269,7 @@ _WARM = "machine_id, job_id, start_us, end_us, round(duration_h, 6) AS duration_
 @query(f"""WITH {_R} SELECT machine_id, CASE WHEN next_state = 'building' THEN next_job_id END AS job_id, start_us, end_us, round(duration_h, 6) AS duration_h,
            duration_h > 2.6 AND NOT has_gap AS is_long, round(kwh, 4) AS kwh, has_gap FROM r WHERE state = 'heat_up' AND NOT is_open AND NOT is_first""")
 def heat_ups(spark, d):
-    return intervals.warm_ups(_runs(spark, d), RULES).selectExpr(*_columns(_WARM))
+    return intervals.warm_ups(_runs(spark, d), RULES).selectExpr(*_columns(_nudged(_WARM)))
 
 
 _JOB = "job_id, machine_id, start_us, end_us, round(build_h, 6) AS build_h, round(build_kwh, 4) AS build_kwh, round(heatup_kwh, 4) AS heatup_kwh, round(cooldown_kwh, 4) AS cooldown_kwh, round(job_kwh, 4) AS job_kwh, round(kwh_per_build_hour, 4) AS kwh_per_build_hour, has_gap"
@@ -262,14 +283,14 @@ _J = _R + """,
 
 @query(f"WITH {_J} SELECT job_id, machine_id, start_us, end_us, round(build_h, 6) AS build_h, round(build_kwh, 4) AS build_kwh, round(heatup_kwh, 4) AS heatup_kwh, round(cooldown_kwh, 4) AS cooldown_kwh, round(build_kwh + heatup_kwh + cooldown_kwh, 4) AS job_kwh, round(kwh_per_build_hour, 4) AS kwh_per_build_hour, has_gap FROM j")
 def build_jobs(spark, d):
-    return intervals.jobs(_runs(spark, d)).selectExpr(*_columns(_JOB))
+    return intervals.jobs(_runs(spark, d)).selectExpr(*_columns(_nudged(_JOB)))
 
 
 @query(f"""WITH {_J} SELECT machine_id, count(*) AS jobs, round(sum(build_h), 4) AS build_h, round(sum(build_kwh) / nullif(sum(build_h), 0), 4) AS kwh_per_build_h
            FROM j GROUP BY 1""")
 def job_kpis(spark, d):
     j = intervals.jobs(_runs(spark, d)).groupBy("machine_id")
-    return j.agg(F.count(F.lit(1)).alias("jobs"), F.round(F.sum("build_h"), 4).alias("build_h"), F.round(F.try_divide(F.sum("build_kwh"), F.sum("build_h")), 4).alias("kwh_per_build_h"))
+    return j.agg(F.count(F.lit(1)).alias("jobs"), _round(F.sum("build_h"), 4).alias("build_h"), _round(F.try_divide(F.sum("build_kwh"), F.sum("build_h")), 4).alias("kwh_per_build_h"))
 
 
 # --- daily quality and coverage ------------------------------------------------------------------------------------
@@ -299,9 +320,9 @@ def _daily(spark, d):
     return daily.daily_quality(rows, quality.checked(rows, RULES), RULES)
 
 
-@query(f"WITH {_Q} SELECT * REPLACE (round(gap_minutes + 1e-9, 4) AS gap_minutes), round(minutes_covered / 1440, 6) AS completeness FROM q")
+@query(f"WITH {_Q} SELECT * REPLACE (round(gap_minutes, 4) AS gap_minutes), round(minutes_covered / 1440, 6) AS completeness FROM q")
 def dq_daily(spark, d):
-    return _daily(spark, d).withColumns({"gap_minutes": F.round(F.col("gap_minutes") + 1e-9, 4), "completeness": F.round(F.col("minutes_covered") / 1440, 6)})
+    return _daily(spark, d).withColumns({"gap_minutes": _round("gap_minutes", 4), "completeness": _round(F.col("minutes_covered") / 1440, 6)})
 
 
 @query(f"""WITH {_C} SELECT meter, count(*) FILTER (dq_reason = 'missing_value') AS rejected_missing_value, count(*) FILTER (dq_reason = 'bad_status') AS rejected_bad_status,
@@ -337,7 +358,7 @@ def coverage_grid(spark, d):
     day = F.to_date(F.col("date_key").cast("string"), "yyyyMMdd")
     days = daily_rows.select(day.alias("date"))
     grid = dimensions.coverage(daily_rows, dimensions.versions_of(_master(spark, d)), days)
-    return grid.select("machine_sk", "machine_id", "meter", "date_key", "expected_minutes", "events_received", "valid_readings", "minutes_covered", F.round("completeness", 6).alias("completeness"))
+    return grid.select("machine_sk", "machine_id", "meter", "date_key", "expected_minutes", "events_received", "valid_readings", "minutes_covered", _round("completeness", 6).alias("completeness"))
 
 
 @query(f"""WITH {_Q} SELECT meter, round(sum(minutes_covered) FILTER (date_key // 100 = 201603) / 1440, 4) AS m201603,
@@ -345,7 +366,7 @@ def coverage_grid(spark, d):
 def coverage_by_month(spark, d):
     """Days' worth of covered minutes per meter, months as columns."""
     rows = _daily(spark, d).withColumn("month", F.expr("date_key div 100"))
-    wide = rows.groupBy("meter").pivot("month", [201603, 201604]).agg(F.round(F.sum("minutes_covered") / 1440, 4))
+    wide = rows.groupBy("meter").pivot("month", [201603, 201604]).agg(_round(F.sum("minutes_covered") / 1440, 4))
     return wide.withColumnsRenamed({"201603": "m201603", "201604": "m201604"})
 
 
@@ -403,7 +424,7 @@ def scd2_apply(spark, d):
 def version_asof(spark, d):
     facts = intervals.bucket_facts(_valid(spark, d), RULES)
     keyed = dimensions.with_version(facts, dimensions.versions_of(_master(spark, d)), F.timestamp_seconds("bucket_epoch"))
-    return keyed.select("machine_id", "bucket_epoch", F.round("kwh", 4).alias("kwh"), "machine_sk")
+    return keyed.select("machine_id", "bucket_epoch", _round("kwh", 4).alias("kwh"), "machine_sk")
 
 
 @query(f"""WITH {_V} SELECT hall_id, count(*) AS versions, count(*) FILTER (is_current) AS current_versions, count(DISTINCT machine_id) AS machines FROM v GROUP BY 1""")
@@ -481,16 +502,17 @@ def newest_deliveries(spark, d):
 
 @query(f"""WITH {_T}, a AS (SELECT machine_id, us // 900000000 * 900 AS window_epoch, avg(power_kw) AS kw FROM t
              WHERE machine_id IS NOT NULL AND power_kw IS NOT NULL AND NOT isnan(power_kw) GROUP BY 1, 2)
-           SELECT CAST(window_epoch AS BIGINT) AS window_epoch, round(sum(kw), 1) AS park_kw, count(*) AS machines FROM a GROUP BY 1""")
+           SELECT CAST(window_epoch AS BIGINT) AS window_epoch, round(sum(kw), 3) AS park_kw, count(*) AS machines FROM a GROUP BY 1""")
 def park_power(spark, d):
-    return realtime.park_power(_kept(spark, d), 900).select("window_epoch", "park_kw", "machines")
+    return realtime.park_power(_kept(spark, d), 900).select("window_epoch", _round("park_kw", 3).alias("park_kw"), "machines")
 
 
 @query(f"""WITH {_D}, mx AS (SELECT max(us) AS m FROM d), x AS (SELECT *, (epoch_us(ts_edge) - us) / 1e6 AS lat FROM d, mx WHERE us > m - {LOOKBACK_S}000000 AND meter IS NOT NULL)
            SELECT count(*) AS events, count(DISTINCT (meter, us)) AS measurements, count(*) - count(DISTINCT (meter, us)) AS duplicates, max(us) AS last_us,
            (max(m) - max(us)) // 1000000 AS age_s, round(quantile_disc(lat, 0.5), 1) AS p50_latency_s, round(quantile_disc(lat, 0.95), 1) AS p95_latency_s FROM x""")
 def freshness(spark, d):
-    return realtime.freshness(quality.deliveries(_events(spark, d)), _as_of(_events(spark, d)), LOOKBACK_S)
+    out = realtime.freshness(quality.deliveries(_events(spark, d)), _as_of(_events(spark, d)), LOOKBACK_S)
+    return out.withColumns({c: _round(c, 1) for c in ("p50_latency_s", "p95_latency_s")})
 
 
 _FIELDS = ["l1_a", "l2_a", "l3_a", "voltage_v", "power_kw"]
@@ -540,7 +562,7 @@ def hourly_mart(spark, d):
     facts = intervals.bucket_facts(_valid(spark, d), RULES)
     keyed = dimensions.with_version(facts, dimensions.versions_of(_master(spark, d)), F.timestamp_seconds("bucket_epoch"))
     out = market.hourly(keyed, _prices(spark))
-    return out.select("machine_sk", "hour_epoch", "date_key", F.col("hour_local").cast("int").alias("hour_local"), F.round("kwh", 4).alias("kwh"), "eur_mwh", (F.round("cost_spot", 5) + 0.0).alias("cost_spot"))
+    return out.select("machine_sk", "hour_epoch", "date_key", F.col("hour_local").cast("int").alias("hour_local"), _round("kwh", 4).alias("kwh"), "eur_mwh", (_round("cost_spot", 5) + 0.0).alias("cost_spot"))
 
 
 @query("""WITH h AS (SELECT hour_start_utc, CAST(date_key // 100 AS INTEGER) AS yyyymm, sum(kwh) AS kwh, sum(cost_spot_eur) AS cost, max(spot_eur_mwh) AS price
@@ -549,7 +571,7 @@ def hourly_mart(spark, d):
                  round(avg(price), 3) AS time_weighted FROM h GROUP BY 1""")
 def price_by_month(spark, d):
     out = market.monthly_prices(table(spark, d, "energy_cost_hourly"))
-    return out.select("yyyymm", *[F.round(c, 3).alias(c) for c in ("kwh", "cost_spot_eur", "load_weighted", "time_weighted")])
+    return out.select("yyyymm", *[_round(c, 3).alias(c) for c in ("kwh", "cost_spot_eur", "load_weighted", "time_weighted")])
 
 
 _M = """
@@ -564,7 +586,7 @@ def _model(spark, d) -> measures.Model:
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, _ROUND[c]).alias(c) if c in _ROUND else F.col(c) for c in df.columns])
+    return df.select(*[_round(c, _ROUND[c]).alias(c) if c in _ROUND else F.col(c) for c in df.columns])
 
 
 _ALL = """round(sum(kwh), 3) AS energy_kwh, round(sum(cost_tou_eur), 3) AS energy_cost, round(sum(cost_spot_eur), 3) AS market_cost,
@@ -597,7 +619,7 @@ def measures_filtered(spark, d):
 def energy_vs_previous_month(spark, d):
     months = _mart(spark, d).groupBy("hall", "yyyymm").agg(F.sum("kwh").alias("kwh"))
     out = measures.against_previous(months, "yyyymm", "kwh", ["hall"])
-    return out.select("hall", "yyyymm", F.round("kwh", 3).alias("kwh"), F.round("kwh_pm", 3).alias("kwh_pm"), F.round("kwh_vs_pm", 5).alias("kwh_vs_pm"))
+    return out.select("hall", "yyyymm", _round("kwh", 3).alias("kwh"), _round("kwh_pm", 3).alias("kwh_pm"), _round("kwh_vs_pm", 5).alias("kwh_vs_pm"))
 
 
 @query(f"""WITH {_M}, h AS (SELECT hour_local, hour_start_utc, max(spot_eur_mwh) AS p, sum(kwh) AS kwh FROM m GROUP BY 1, 2)
@@ -605,7 +627,7 @@ def energy_vs_previous_month(spark, d):
 def hourly_profile(spark, d):
     mart = _mart(spark, d)
     power = _model(spark, d).evaluate(["mean_power_kw"], ["hour_local"])
-    return power.join(measures.time_weighted_price(mart, "hour_local"), "hour_local").select("hour_local", F.round("market_price", 4).alias("market_price"), F.round("mean_power_kw", 4).alias("mean_power_kw"))
+    return power.join(measures.time_weighted_price(mart, "hour_local"), "hour_local").select("hour_local", _round("market_price", 4).alias("market_price"), _round("mean_power_kw", 4).alias("mean_power_kw"))
 
 
 @query(f"""WITH {_M}, l AS (SELECT machine_id, sum(cost_spot_eur) * 1000 / nullif(sum(kwh), 0) AS lp FROM m GROUP BY 1),
@@ -615,7 +637,7 @@ def premium_by_machine(spark, d):
     mart = _mart(spark, d)
     load = _model(spark, d).evaluate(["load_price"], ["machine_id"])
     both = load.join(measures.time_weighted_price(mart, "machine_id"), "machine_id")
-    return both.select("machine_id", F.round(F.try_divide("load_price", "market_price") - 1, 5).alias("premium"))
+    return both.select("machine_id", _round(F.try_divide("load_price", "market_price") - 1, 5).alias("premium"))
 
 
 @query(f"""WITH {_M} SELECT machine_sk, round(sum(kwh), 3) AS kwh FROM m WHERE hall = 'H1' GROUP BY 1""")
@@ -623,14 +645,14 @@ def hall_visible(spark, d):
     """What a reader restricted to one hall sees of the mart."""
     dim = table(spark, d, "machine_versions").where("machine_sk is not null").groupBy("machine_sk").agg(F.max(plain("hall_id")).alias("hall"))
     seen = dimensions.visible_to(table(spark, d, "energy_cost_hourly"), dim, F.col("hall") == "H1")
-    return seen.groupBy("machine_sk").agg(F.round(F.sum("kwh"), 3).alias("kwh"))
+    return seen.groupBy("machine_sk").agg(_round(F.sum("kwh"), 3).alias("kwh"))
 
 
 @query(f"""WITH {_M}, s AS (SELECT machine_id, sum(kwh) AS kwh FROM m GROUP BY 1) SELECT machine_id, round(kwh, 3) AS kwh FROM s ORDER BY s.kwh DESC NULLS LAST, machine_id NULLS LAST LIMIT 10""")
 def top_machines(spark, d):
     """Top-k report: the ten machines with the most energy."""
     sums = _mart(spark, d).groupBy("machine_id").agg(F.sum("kwh").alias("kwh"))
-    return sums.orderBy(F.col("kwh").desc_nulls_last(), F.col("machine_id").asc_nulls_last()).limit(10).select("machine_id", F.round("kwh", 3).alias("kwh"))
+    return sums.orderBy(F.col("kwh").desc_nulls_last(), F.col("machine_id").asc_nulls_last()).limit(10).select("machine_id", _round("kwh", 3).alias("kwh"))
 
 
 # --- functions -----------------------------------------------------------------------------------------------------
@@ -653,7 +675,7 @@ def local_time_dst(spark, d):
 def electrics_check(spark, d):
     rows = _events(spark, d).where(" and ".join(f"{c} is not null" for c in ("power_factor", "voltage_v", "l1_a", "l2_a", "l3_a")))
     kw = electrics.three_phase_kw(F.col("voltage_v"), [F.col(c) for c in ("l1_a", "l2_a", "l3_a")], F.col("power_factor"))
-    return rows.select("ingest_id", F.round(kw, 4).alias("computed_kw"), "power_kw")
+    return rows.select("ingest_id", _round(kw, 4).alias("computed_kw"), "power_kw")
 
 
 @query(f"""WITH {_L}, g AS (SELECT machine_id, prev_us AS a, us AS b, power_kw AS kw FROM l WHERE prev_us IS NOT NULL AND us > prev_us AND NOT is_gap),
@@ -666,7 +688,7 @@ def overlap_energy(spark, d):
     segments = deltas.where("prev_us is not null and not is_gap").select("machine_id", F.col("prev_us").alias("a_us"), F.col("us").alias("b_us"), F.col("power_kw").alias("kw"))
     windows = deltas.select("machine_id", F.expr("us div 21600000000 * 21600000000").alias("from_us")).distinct().withColumn("to_us", F.col("from_us") + 21600000000)
     out = intervals.overlap_energy(segments, windows)
-    return out.select("machine_id", "from_us", F.round("kwh", 3).alias("kwh"))
+    return out.select("machine_id", "from_us", _round("kwh", 3).alias("kwh"))
 
 
 # --- sources, sinks, streams ---------------------------------------------------------------------------------------
