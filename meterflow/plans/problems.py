@@ -127,7 +127,43 @@ _RIGHT = """
   FROM energy_cost_hourly c LEFT JOIN r USING (cost_id)
 """
 
+_SIDES = ", ".join(f"{f}(fp, {k}) OVER w AS {f}{k}" for f in ("lag", "lead") for k in range(1, 6))
+_MID = "list_sort(list_filter([{0}1, {0}2, {0}3, {0}4, {0}5], lambda x: x IS NOT NULL))"
+_LOW = "{0}[greatest(1, (len({0}) + 1) // 2)]"
+_FIT = "({1} - {0} >= -1e-6 AND {1} - {0} <= coalesce(peak, 0) * 4 * ({3} - {2}) / 3.6e9 + 0.5)"
+
+
+def _stuck(column: str, name: str) -> str:
+    """Runs of ten or more equal values of consecutive readings while the machine is not off."""
+    return f"""
+  {name}0 AS (SELECT *, CASE WHEN is_on AND lag(is_on) OVER w AND {column} = lag({column}) OVER w AND NOT isnan({column}) THEN 0 ELSE 1 END AS begins
+              FROM b WINDOW w AS (PARTITION BY meter ORDER BY us)),
+  {name}1 AS (SELECT ingest_id, meter, sum(begins) OVER (PARTITION BY meter ORDER BY us) AS run FROM {name}0),
+  {name} AS (SELECT ingest_id FROM {name}1 WHERE (meter, run) IN (SELECT (meter, run) FROM {name}1 GROUP BY meter, run HAVING count(*) >= 10))"""
+
+
+# the definition of the cases by plain rules: far above the medians of both sides, or out of line with the counter
+_CASES = f"""
+  WITH k AS (SELECT ingest_id, upper(trim(meter_id)) AS meter, epoch_us(ts_source) AS us, state, power_kw AS p, energy_kwh_total AS e,
+               row_number() OVER (PARTITION BY upper(trim(meter_id)), ts_source ORDER BY ts_edge NULLS LAST, ingest_id) AS rn
+             FROM meter_events WHERE meter_id IS NOT NULL AND ts_source IS NOT NULL),
+  b AS (SELECT *, CASE WHEN p >= 0 AND p < 1000 THEN p END AS fp, CASE WHEN e >= 0 AND e < 'inf'::DOUBLE THEN e END AS fe,
+               coalesce(state <> 'off', true) AS is_on FROM k WHERE rn = 1),
+  s0 AS (SELECT *, {_SIDES} FROM b WINDOW w AS (PARTITION BY meter ORDER BY us)),
+  s1 AS (SELECT *, {_MID.format('lag')} AS lo, {_MID.format('lead')} AS hi FROM s0),
+  spike AS (SELECT ingest_id FROM s1 WHERE len(lo) + len(hi) > 0
+            AND fp > 3 * greatest(coalesce({_LOW.format('lo')}, 0), coalesce({_LOW.format('hi')}, 0), 0.05)),
+  pk AS (SELECT meter, max(m) AS peak FROM (SELECT meter, state, quantile_disc(fp, 0.5) AS m FROM b GROUP BY 1, 2) GROUP BY 1),
+  e0 AS (SELECT b.*, peak, lag(fe) OVER w AS e1, lag(us) OVER w AS u1, lead(fe) OVER w AS e3, lead(us) OVER w AS u3
+         FROM b LEFT JOIN pk USING (meter) WHERE fe IS NOT NULL WINDOW w AS (PARTITION BY meter ORDER BY us)),
+  departure AS (SELECT ingest_id FROM e0 WHERE {_FIT.format('e1', 'e3', 'u1', 'u3')} AND (fe < e1 OR fe > e3)),
+  {_stuck('p', 'sp')}, {_stuck('e', 'se')}
+  SELECT ingest_id FROM spike UNION SELECT ingest_id FROM departure UNION SELECT ingest_id FROM sp UNION SELECT ingest_id FROM se
+  UNION SELECT ingest_id FROM b WHERE p < 0 OR isnan(p) OR p >= 1000 OR e < 0 OR isnan(e) OR e = 'inf'::DOUBLE
+"""
+
 SQL = {
+    "p2_found": _CASES,
     "p5_found": f"SELECT machine_id, valid_from, valid_to FROM ({_HISTORY})",
     "p5_versions": _HISTORY,
     "p7_found": f"SELECT cost_id FROM ({_RIGHT}) WHERE NOT is_right",
