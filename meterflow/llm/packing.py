@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import heapq
 import importlib.util
+import re
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
@@ -35,11 +36,29 @@ def encoding(folder: str, vocabulary: str):
     return tiktoken.Encoding(vocabulary, pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Runs of white space beyond this length are encoded apart: the tokenizer's pattern matches them by backtracking.
+LONG_SPACE = re.compile("[ \\t\\n\\r\\x0b\\x0c\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
+
+
+def token_count(bpe, text: str) -> int:
+    """Tokens of a text of any length.
+
+    Of a long run of white space the pattern takes all but the last character as one piece (the last begins the next
+    piece), or all of it at the end of the text; so the text can be cut there without changing its tokens.
+    """
+    total = at = 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(bpe.encode_ordinary(text[at : run.start()])) + len(bpe._encode_single_piece(text[run.start() : end]))
+        at = end
+    return total + len(bpe.encode_ordinary(text[at:]))
+
+
 def _count(folder: str, vocabulary: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoding(folder, vocabulary)
         for batch in batches:
-            sizes = [len(bpe.encode_ordinary(t)) if t else 0 for t in batch.column("text").to_pylist()]
+            sizes = [token_count(bpe, t) if t else 0 for t in batch.column("text").to_pylist()]
             rest = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in rest] + [pa.array(sizes, pa.int64())], names=[*rest, "tokens"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from meterflow.llm import queries
 from meterflow.llm.leakage import SuffixAutomaton, leaked_pairs, leaking_documents, leaks_of
-from meterflow.llm.packing import TOKENIZERS, VOCABULARY, encoding, fill_report, pack, packed
+from meterflow.llm.packing import TOKENIZERS, VOCABULARY, encoding, fill_report, pack, packed, token_count
 from meterflow.llm.reading import cut_points, reading_levels
 from meterflow.llm.text import words, words_at
 
@@ -121,6 +121,20 @@ def test_pack_is_valid_and_cheapest_first(sizes, capacity):
         assert sum(z for _, _, z in mine) <= capacity
 
 
+@given(st.text(st.sampled_from("a1 \n\t.é\u3000"), max_size=12), st.text(st.sampled_from("ab1 \n."), max_size=12), st.text(st.sampled_from(" \n\t\u3000"), min_size=1000, max_size=1003))
+@settings(max_examples=60, deadline=None)
+def test_cutting_at_white_space_changes_no_token(before, after, space):
+    bpe, text = encoding(TOKENIZERS, VOCABULARY), before + space + after
+    assert token_count(bpe, text) == len(bpe.encode_ordinary(text))
+
+
+def test_very_long_texts():
+    bpe = encoding(TOKENIZERS, VOCABULARY)
+    for unit in (" ", "\n", "x", "1", ".", "é", "word ", "\n\n. "):
+        text = unit * (1_000_000 // len(unit))
+        assert 0 < token_count(bpe, text) <= len(text.encode())
+
+
 def test_packing_is_complete(spark):
     rng = random.Random(5)
     vocabulary = "the energy report of a printer moves slowly through many rooms".split()
