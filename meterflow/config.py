@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 
 @dataclass(frozen=True)
 class Rules:
-    # fixed values of the reference pipeline
+    # fixed values: limits, hours and widths that the results depend on
     timezone: str = "Europe/Berlin"
     gap_s: int = 300
     late_s: int = 300

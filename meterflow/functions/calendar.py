@@ -40,23 +40,18 @@ def compact_id(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMdd'T'HHmm")
 
 
+_DATES = """
+SELECT int(date_format(date, 'yyyyMMdd')) AS date_key, date,
+       extract(YEAR FROM date) AS year, extract(QUARTER FROM date) AS quarter, extract(MONTH FROM date) AS month,
+       date_format(date, 'MMMM') AS month_name, date_format(date, 'yyyy-MM') AS year_month, extract(WEEK FROM date) AS iso_week,
+       extract(DOW_ISO FROM date) AS iso_weekday, date_format(date, 'EEEE') AS weekday_name, extract(DOW_ISO FROM date) > 5 AS is_weekend
+FROM (SELECT explode(sequence(to_date(:first), to_date(:last))) AS date)
+"""
+
+
 def dates(spark: SparkSession, first: str, last: str) -> DataFrame:
     """The calendar from ``first`` to ``last`` (yyyy-MM-dd), one row per day."""
-    d = F.col("date")
-    days = spark.sql("SELECT explode(sequence(to_date(:a), to_date(:b), INTERVAL 1 DAY)) AS date", args={"a": first, "b": last})
-    return days.select(
-        day_key(d).alias("date_key"),
-        "date",
-        F.year(d).alias("year"),
-        F.quarter(d).alias("quarter"),
-        F.month(d).alias("month"),
-        F.date_format(d, "MMMM").alias("month_name"),
-        F.date_format(d, "yyyy-MM").alias("year_month"),
-        F.weekofyear(d).alias("iso_week"),
-        iso_weekday(d).alias("iso_weekday"),
-        F.date_format(d, "EEEE").alias("weekday_name"),
-        (iso_weekday(d) >= 6).alias("is_weekend"),
-    )
+    return spark.sql(_DATES, args={"first": first, "last": last})
 
 
 def time_slots(spark: SparkSession, rules: Rules) -> DataFrame:

@@ -11,6 +11,7 @@ from ..config import Rules
 from .dedup import ARRIVAL, keep_first, meter_key
 from .sequences import blocked, in_block
 
+# fixed values: names of the rules, and the columns a reading cannot do without
 REASONS = ("missing_value", "bad_status", "negative_value", "implausible_power", "spike")
 REQUIRED = ("machine_id", "meter", "ts_source", "state", "power_kw", "energy_kwh_total", "opc_status")
 COLUMNS = ("ingest_id", "machine_id", "seq", "ts_source", "ts_edge", "state", "job_id", "power_kw", "energy_kwh_total", "opc_status")
