@@ -35,31 +35,32 @@ def parsed(records: DataFrame, file: str = "file_id", payload: str = "payload")
 def fields(spark: SparkSession, docs: DataFrame, depth: int) -> DataFrame:
     """One row per leaf field of each document: ``name`` (dotted), ``kind`` (null for a JSON null), ``num``, ``text``.
 
-    An array is a leaf, and so is an empty object. JVM only: each level of nesting is one generator.
+    The elements of an array stand under its name; an empty array or object is a leaf of kind "other". JVM only: each
+    level of nesting is one generator, which passes scalars on as they are.
     """
     rows = docs.withColumns({"name": F.lit(None).cast("string"), "value": F.col("doc")}).drop("doc")
     other = [c for c in rows.columns if c not in ("name", "value")]
     for _ in range(depth):
-        filled = F.schema_of_variant("value").rlike("^OBJECT<.") & ~F.schema_of_variant("value").eqNullSafe("OBJECT<>")
-        rows = rows.withColumn("inner", F.when(filled, F.col("value")))
-        rows = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("inner").outer()).toDF("pos_", "key_", "value_")).select(
+        rows = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("value").outer()).toDF("pos_", "key_", "value_")).select(
             *other,
-            F.when(F.col("inner").isNull(), F.col("name")).otherwise(F.concat_ws(".", "name", "key_")).alias("name"),
-            F.when(F.col("inner").isNull(), F.col("value")).otherwise(F.col("value_")).alias("value"),
+            F.when(F.col("key_").isNull(), F.col("name")).otherwise(F.concat_ws(".", "name", "key_")).alias("name"),
+            F.coalesce("value_", "value").alias("value"),
         )
-    rows = rows.where(F.col("name").isNotNull())
-    kind = F.schema_of_variant("value")
+    rows = rows.where(F.col("name").isNotNull()).withColumn("shape_", F.schema_of_variant("value"))
+    shape = F.col("shape_")
+    kind = (
+        F.when(shape.isin("BIGINT", "DOUBLE", "FLOAT") | shape.startswith("DECIMAL"), "number")
+        .when(shape == "STRING", "string")
+        .when(shape == "BOOLEAN", "boolean")
+        .when(shape != "VOID", "other")
+    )
+    scalar = kind.isin("number", "string", "boolean")
     return rows.select(
         *other,
         "name",
-        F.when(F.is_variant_null("value") | (kind == "VOID"), F.lit(None))
-        .when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), "number")
-        .when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean")
-        .otherwise("other")
-        .alias("kind"),
-        F.when(~kind.startswith("ARRAY") & ~kind.startswith("OBJECT"), F.try_variant_get("value", "$", "double")).alias("num"),
-        F.try_variant_get("value", "$", "string").alias("text"),
+        kind.alias("kind"),
+        F.when(scalar, F.try_variant_get("value", "$", "double")).alias("num"),
+        F.when(kind.isNotNull(), F.try_variant_get("value", "$", "string")).alias("text"),
     )
 
 
