@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import shipped, written
 from .asof import salted_left_join
 
 CELLS = 24  # cells of a value sketch
@@ -237,7 +237,7 @@ def schema_changes(records: DataFrame, files: DataFrame, rules: DriftRules = Dri
     first file of a feed has no changes. Fields without non-null values on either side are not retyped. Records of
     unknown files are ignored.
     """
-    spark = records.sparkSession
+    spark = shipped(records.sparkSession)
     rows = written(profiles(fields(spark, parsed(records), rules.depth), "file").withColumn("main", main_kind()), "profiles")
     order = file_order(files).select("file", "previous")
     profile = F.struct(*_PROFILE, "main")

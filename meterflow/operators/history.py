@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import partitions
+from ..session import partitions, shipped
 from .dedup import keep_first
 
 DATE_PATTERNS = ("yyyy-MM-dd", "yyyyMMdd", "dd.MM.yyyy")
@@ -71,6 +71,7 @@ def attribute_history(snapshots: DataFrame, entity: str, day: str, exported: str
     Absence from a snapshot changes nothing. Rows without entity or with an unreadable day are left out. A missing
     attribute is a value of its own. The last version ends at 9999-12-31. Other columns of the input are ignored.
     """
+    shipped(snapshots.sparkSession)
     rows = snapshots.select(
         F.upper(F.trim(F.col(entity))).alias("entity"),
         snapshot_day(day).alias("day"),

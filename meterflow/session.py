@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +46,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers, wherever the driver found it; once per context.
+
+    The package travels as an archive in the shared folder.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_meterflow_shipped", False):
+        return spark
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    if root.is_dir():
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+            for file in sorted(root.rglob("*.py")):
+                archive.write(file, file.relative_to(root.parent))
+        target = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/meterflow-{uuid.uuid4().hex[:12]}.zip")
+        out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, False)
+        try:
+            out.write(bytearray(packed.getvalue()))
+        finally:
+            out.close()
+        sc.addPyFile(target.toString())
+    sc._meterflow_shipped = True
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives the loss of executors."""
     path = scratch_path(df.sparkSession, name)

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..config import Rules
 from ..operators.dedup import BucketStore
 from ..operators.quality import checked_increment, deliveries
+from ..session import shipped
 from ..store import TableStore
 
 
@@ -100,6 +101,7 @@ def long_run_alerts(events: DataFrame, state: str, threshold_h: float) -> DataFr
         held.update((start, last, fired))
         yield pd.DataFrame(out, columns=["machine_id", "start_us", "fired_us", "duration_h"])
 
+    shipped(events.sparkSession)
     keyed = events.where("machine_id is not null and ts_source is not null").select("machine_id", F.unix_micros("ts_source").alias("us"), "state")
     return keyed.groupBy("machine_id").applyInPandasWithState(
         update, ALERT, "start bigint, last bigint, fired boolean", "append", GroupStateTimeout.NoTimeout
@@ -129,6 +131,7 @@ def assemble_stream(points: DataFrame, fields: list[str]) -> DataFrame:
         held.update((at, list(got), list(got.values())))
         yield pd.DataFrame(out, columns=["meter", "us", *fields])
 
+    shipped(points.sparkSession)
     schema = "meter string, us bigint, " + ", ".join(f"{f} double" for f in fields)
     return points.groupBy("meter").applyInPandasWithState(
         update, schema, "at bigint, names array<string>, amounts array<double>", "append", GroupStateTimeout.NoTimeout
