@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shipped
 from .text import words, words_at
 
 MIN_WORDS = 8
@@ -175,6 +176,7 @@ def leaking_documents(
     Null or empty texts and items hold no passage; items of fewer than ``least`` words cannot leak. Repeated items and
     documents are reported each. Rows with a null id are reported under a null id.
     """
+    shipped(documents.sparkSession)
     wanted = items.select("item_id", "item_text").where(F.col("item_text").isNotNull())
     total = wanted.agg(F.sum(F.length("item_text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_chars))

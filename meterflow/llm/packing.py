@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import shipped, written
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -170,6 +170,7 @@ def packed(
     applicable budget are left out; budgets of null or non-positive capacity do not count; of several budgets for one
     language the smallest ``budget_id`` is used. Repeated documents are packed each.
     """
+    shipped(documents.sparkSession)
     code = lambda c: F.regexp_extract(F.lower(F.trim(c)), "^([a-z]+)", 1)
     usable = budgets.where("capacity_tokens > 0").select(
         "budget_id", "capacity_tokens", F.when(F.col("lang").isNotNull(), code("lang")).alias("code")

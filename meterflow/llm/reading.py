@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import partitions, scratch_path, written
+from ..session import partitions, scratch_path, shipped, written
 from .text import words
 
 BLOCK_DOCS = 4000  # documents whose edges one Python call holds
@@ -172,7 +172,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS
     Null raters' levels do not count, grades are limited to 1..5, several grades are averaged, grades of unknown
     documents are ignored. Without any usable grade every document gets level 3. Documents of null id are left out.
     """
-    spark = documents.sparkSession
+    spark = shipped(documents.sparkSession)
     n = partitions(spark)
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     blocks = max(1, -(-texts.count() // block_docs))
