@@ -747,11 +747,12 @@ def stream_upsert(spark, d):
 
 @query(f"""WITH {_C}, x AS (SELECT ingest_id, meter, us, 1 AS part FROM c WHERE dq_reason IS NULL) SELECT meter, count(*) AS readings, min(us) AS first_us, max(us) AS last_us FROM x GROUP BY 1""")
 def store_merge(spark, d):
-    """Valid readings merged insert-only in two overlapping batches, one of them twice, then compacted and read back."""
+    """Valid readings merged insert-only in two batches that overlap by a week, one of them twice, then compacted and read back."""
     valid = _valid(spark, d).select("ingest_id", "meter", "ts_source")
     tables = TableStore(spark, scratch_path(spark, "tables"))
-    early = F.pmod(F.xxhash64("ingest_id"), F.lit(3))
-    for name, part in (("a", valid.where(early < 2)), ("b", valid.where(early > 0)), ("b", valid.where(early > 0))):
+    before = valid.where(F.col("ts_source") < F.lit(datetime(2016, 3, 20)))
+    after = valid.where(F.col("ts_source") >= F.lit(datetime(2016, 3, 13)))
+    for name, part in (("a", before), ("b", after), ("b", after)):
         tables.merge_insert_only("readings", part, ["meter", "ts_source"], name)
     tables.compact("readings", 2, ["meter", "ts_source"])
     us = F.unix_micros("ts_source")
