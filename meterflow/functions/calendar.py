@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ..config import Rules
 
 
+def period(micros: Column | str, width: int) -> Column:
+    """Number of the period of ``width`` microseconds that holds an instant; whole numbers, also before 1970."""
+    us = F.col(micros) if isinstance(micros, str) else micros
+    return F.call_function("div", us - F.pmod(us, F.lit(width)), F.lit(width))
+
+
 def local(ts: Column | str, rules: Rules) -> Column:
     return F.from_utc_timestamp(ts, rules.timezone)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.calendar import period
+
 SLICE_US = 30 * 86400 * 1_000_000
 
 
@@ -36,7 +38,7 @@ def as_known(events: DataFrame, versions: DataFrame) -> DataFrame:
     available.
     Repeated events stay repeated.
     """
-    slice_ = F.expr(f"us div {SLICE_US}")
+    slice_ = period("us", SLICE_US)
     usable = F.col("entity").isNotNull() & F.col("us").isNotNull()
     placed = events.where(usable).withColumn("slice_", slice_)
     changes = versions.where(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Rules
-from ..functions.calendar import day_key, local
+from ..functions.calendar import day_key, local, period
 from .intervals import counter_deltas
 from .quality import REASONS, deduplicated, split
 
@@ -41,7 +41,7 @@ def daily_quality(rows: DataFrame, flagged: DataFrame, rules: Rules) -> DataFram
         (F.sum(F.when(F.col("is_gap"), F.col("interval_s"))) / 60).alias("gap_minutes"),
         F.count_if("counter_reset").alias("counter_resets"),
         F.count_if("counter_discontinuity").alias("counter_discontinuities"),
-        F.count_distinct(F.expr("us div 60000000")).alias("minutes_covered"),
+        F.count_distinct(period("us", 60_000_000)).alias("minutes_covered"),
     )
     out = arrived
     for part in (unique, good, rejected_by_reason(quarantine, "meter", _day(rules))):

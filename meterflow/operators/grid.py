@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.calendar import period
 from .dedup import measurements
 
 SLOT_S = 900
@@ -26,15 +27,14 @@ def regular_grid(events: DataFrame, slot_s: int = SLOT_S, max_gap_slots: int = 8
     usable = measurements(events, "energy_kwh_total", "opc_status").where(
         F.col("energy_kwh_total").isNotNull() & (F.coalesce("opc_status", F.lit("")) != "Bad")
     )
-    us = F.unix_micros("ts_source")
+    us, width = F.unix_micros("ts_source"), slot_s * 1_000_000
     slots = usable.select(
-        "meter", F.expr(f"floor(unix_micros(ts_source) / {slot_s * 1_000_000}D)").cast("long").alias("slot"), us.alias("us"), "energy_kwh_total"
+        "meter", period(us, width).alias("slot"), us.alias("us"), "energy_kwh_total"
     ).groupBy("meter", "slot").agg(
         F.count(F.lit(1)).alias("readings"), F.max(F.struct("us", "energy_kwh_total")).alias("last")
     ).select("meter", "slot", "readings", F.col("last.energy_kwh_total").alias("observed"))
     spans = usable.groupBy("meter").agg(F.min(us).alias("a"), F.max(us).alias("b"))
-    at = lambda c: f"cast(floor({c} / {slot_s * 1_000_000}D) as bigint)"
-    grid = spans.select("meter", F.explode(F.expr(f"sequence({at('a')}, {at('b')})")).alias("slot"))
+    grid = spans.select("meter", F.explode(F.sequence(period("a", width), period("b", width))).alias("slot"))
     joined = grid.join(slots, ["meter", "slot"], "left")
     by = Window.partitionBy("meter").orderBy("slot").rowsBetween(-max_gap_slots, 0)
     value = F.last("observed", ignorenulls=True).over(by)

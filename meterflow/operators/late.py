@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.calendar import period
 from .dedup import kept_measurements
 
 HOUR_US = 3600 * 1_000_000
@@ -19,7 +20,7 @@ def late_state(events: DataFrame, allowed_s: int = 300, cutoff_s: int = 24 * 360
     Counts merge by addition, so states of different batches are combined with ``merge_states``.
     """
     kept = kept_measurements(events, "power_kw")
-    hour = F.expr(f"cast(floor(unix_micros(ts_source) / {HOUR_US}D) as bigint)")
+    hour = period(F.unix_micros("ts_source"), HOUR_US)
     after = F.unix_micros("ts_edge") - (F.col("hour") + 1) * HOUR_US
     lateness = (
         F.when(F.col("after").isNull() | (F.col("after") > cutoff_s * 1_000_000), "dropped")

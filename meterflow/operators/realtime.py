@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.calendar import period
 from .dedup import keep_first
 from .sequences import blocked, in_block, numbered, running_total
 
@@ -94,7 +95,7 @@ def newest_first_out(rows: DataFrame, n: int) -> DataFrame:
 def park_power(readings: DataFrame, window_s: int = 60) -> DataFrame:
     """Mean power per machine and tumbling window, summed over the machines."""
     width = window_s * 1_000_000
-    start = F.expr(f"unix_micros(ts_source) div {width} * {window_s}")
+    start = period(F.unix_micros("ts_source"), width) * window_s
     each = readings.where("machine_id is not null and ts_source is not null and power_kw is not null and not isnan(power_kw)").groupBy("machine_id", start.alias("window_epoch")).agg(F.avg("power_kw").alias("kw"))
     return each.groupBy("window_epoch").agg(
         F.sum("kw").alias("park_kw"), F.count(F.lit(1)).alias("machines"), F.approx_count_distinct("machine_id").alias("machines_approx")

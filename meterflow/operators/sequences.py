@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.calendar import period
 from ..session import partitions, scratch_path
 
 SLICE_US = 6 * 3600 * 1_000_000
@@ -27,7 +28,7 @@ def numbered(df: DataFrame, source: str, micros: str, *ties: str, slice_us: int
     window = Window.partitionBy(source, "time_slice").orderBy(micros, *ties)
     (
         df.where(F.col(source).isNotNull() & F.col(micros).isNotNull())
-        .withColumn("time_slice", F.expr(f"{micros} div {slice_us}"))
+        .withColumn("time_slice", period(micros, slice_us))
         .repartition(n, source, "time_slice")
         .withColumn("in_slice", F.row_number().over(window))
         .write.bucketBy(n, source, "time_slice")
