@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import fresh, partitions, scratch_path
+from ..session import fresh, partitions, read_text, scratch_path, write_text
 
 
 def meter_key(column: Column | str = "meter_id") -> Column:
@@ -30,34 +31,56 @@ class BucketStore:
     """Rows hash-bucketed by identifier and sorted inside the bucket; one sorted run per upserted batch.
 
     * ``upsert`` combines a batch (one copy per identifier and map task before the shuffle), then appends it as one
-      sorted run per bucket. A batch id that is already there is skipped, so a retried batch changes nothing.
+      sorted run per bucket. A batch id that is already there is skipped; should a batch be appended again because its
+      job died before the id was noted, its rows collapse like any other copies.
     * ``merged`` reads all runs. The scan is bucketed, hence equal identifiers of different runs already lie in the
       same task and collapse without another exchange.
     * ``compact`` writes the merged rows as the only run of a new generation.
 
-    Files lie in the shared folder; bucket metadata lies in the session catalog.
+    Files and the note of generation and batches lie in ``base``, a fresh path of the shared folder if none is given;
+    an existing ``base`` is opened again, with the number of buckets it has.
     """
 
-    def __init__(self, spark: SparkSession, keys: list[str], order: list[str], buckets: int | None = None, name: str = "store"):
+    def __init__(self, spark: SparkSession, keys: list[str], order: list[str], buckets: int | None = None, name: str = "store", base: str | None = None):
         self.spark, self.keys, self.order = spark, keys, order
-        self.buckets = buckets or partitions(spark)
-        self.base, self.name = scratch_path(spark, name), f"{name}_{uuid.uuid4().hex[:12]}"
-        self.generation, self.batches = 0, set()
+        self.base, self.name = base or scratch_path(spark, name), f"{name}_{uuid.uuid4().hex[:12]}"
+        self.buckets, self.generation, self.batches = buckets or partitions(spark), 0, set()
+        note = read_text(spark, f"{self.base}/_note.json") if base else None
+        if note is not None:
+            known = json.loads(note)
+            self.buckets, self.generation, self.batches = known["buckets"], known["generation"], set(known["batches"])
+            self._register()
 
     @property
     def table(self) -> str:
         return f"{self.name}_{self.generation}"
 
+    @property
+    def _path(self) -> str:
+        return f"{self.base}/{self.generation}"
+
     def _order(self) -> list[Column]:
         return [F.col(c).asc_nulls_last() for c in self.order]
 
+    def _register(self) -> None:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(self._path).schema)
+        keys, order = (", ".join(f"`{c}`" for c in names) for names in (self.keys, [*self.keys, *self.order]))
+        self.spark.sql(
+            f"CREATE TABLE {self.table} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({order}) "
+            f"INTO {self.buckets} BUCKETS LOCATION '{self._path}'"
+        )
+
+    def _note(self) -> None:
+        text = json.dumps({"buckets": self.buckets, "generation": self.generation, "batches": sorted(self.batches)})
+        write_text(self.spark, f"{self.base}/_note.json", text)
+
     def _append(self, df: DataFrame) -> None:
         (
             df.repartition(self.buckets, *self.keys)
             .write.bucketBy(self.buckets, *self.keys)
             .sortBy(*self.keys, *self.order)
             .mode("append")
-            .option("path", f"{self.base}/{self.generation}")
+            .option("path", self._path)
             .saveAsTable(self.table)
         )
 
@@ -66,6 +89,7 @@ class BucketStore:
             return False
         self._append(keep_first(batch, self.keys, self._order()))
         self.batches.add(batch_id)
+        self._note()
         return True
 
     def merged(self) -> DataFrame:
@@ -75,6 +99,7 @@ class BucketStore:
         rows, old = self.merged(), self.table
         self.generation += 1
         self._append(rows)
+        self._note()
         self.spark.sql(f"DROP TABLE {old}")
         return self.spark.table(self.table)
 

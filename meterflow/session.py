@@ -46,6 +46,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _at(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _write(spark: SparkSession, path: str, body: bytes) -> None:
+    files, target = _at(spark, path)
+    out = files.create(target, True)
+    try:
+        out.write(bytearray(body))
+    finally:
+        out.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on whatever file system ``path`` names."""
+    _write(spark, path, text.encode())
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """Its content; None if there is no such file."""
+    files, target = _at(spark, path)
+    if not files.exists(target):
+        return None
+    stream = files.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def shipped(spark: SparkSession) -> SparkSession:
     """Make this package importable in the Python workers, wherever the driver found it; once per context.
 
@@ -59,13 +90,9 @@ def shipped(spark: SparkSession) -> SparkSession:
         with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
             for file in sorted(root.rglob("*.py")):
                 archive.write(file, file.relative_to(root.parent))
-        target = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/meterflow-{uuid.uuid4().hex[:12]}.zip")
-        out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, False)
-        try:
-            out.write(bytearray(packed.getvalue()))
-        finally:
-            out.close()
-        sc.addPyFile(target.toString())
+        target = f"{shared_dir(spark)}/meterflow-{uuid.uuid4().hex[:12]}.zip"
+        _write(spark, target, packed.getvalue())
+        sc.addPyFile(target)
     sc._meterflow_shipped = True
     return spark
 

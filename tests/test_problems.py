@@ -51,6 +51,11 @@ def test_store_collapses_equal_identifiers_of_all_batches(spark, events):
     assert sorted(r.ingest_id for r in store.merged().collect()) == [0, 1, 2, 3, 4]
     assert "Exchange" not in store.merged()._jdf.queryExecution().executedPlan().toString()
     assert store.compact().count() == 5 and store.compact().count() == 5
+    again = BucketStore(spark, ["meter_id", "ts_source"], ["ts_edge", "ingest_id"], base=store.base)
+    assert again.buckets == 3 and again.merged().count() == 5
+    assert not again.upsert(rows, "late") and again.upsert(rows.where("ingest_id = 7"), "more")
+    assert sorted(r.ingest_id for r in again.merged().collect()) == [0, 1, 2, 3, 4]
+    assert "Exchange" not in again.merged()._jdf.queryExecution().executedPlan().toString()
 
 
 def test_keep_first_keeps_columns_with_clashing_names(spark):
