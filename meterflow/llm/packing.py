@@ -21,6 +21,7 @@ from ..session import shipped, written
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SHARD_TOKENS = 4_000_000  # tokens that one task packs
+MAX_LANGUAGES = 1000  # budgets become part of the plan; there are fewer language codes than this
 
 
 @cache
@@ -176,7 +177,9 @@ def packed(
         "budget_id", "capacity_tokens", F.when(F.col("lang").isNotNull(), code("lang")).alias("code")
     )
     chosen = usable.groupBy("code").agg(F.min_by(F.struct("budget_id", "capacity_tokens"), "budget_id").alias("budget"))
-    limits = {r["code"]: r["budget"] for r in chosen.limit(10_000).collect()}  # one row per language
+    if chosen.count() > MAX_LANGUAGES:
+        raise ValueError(f"budgets for more than {MAX_LANGUAGES} languages")
+    limits = {r["code"]: r["budget"] for r in chosen.collect()}  # one row per language
     entry = lambda b: F.struct(F.lit(b["budget_id"]).cast("bigint").alias("budget_id"), F.lit(b["capacity_tokens"]).cast("int").alias("capacity_tokens"))
     budget = F.lit(None).cast("struct<budget_id:bigint,capacity_tokens:int>") if None not in limits else entry(limits[None])
     named = [x for c, b in limits.items() if c is not None for x in (F.lit(c), entry(b))]
