@@ -364,10 +364,13 @@ def coverage_grid(spark, d):
 @query(f"""WITH {_Q} SELECT meter, round(sum(minutes_covered) FILTER (date_key // 100 = 201603) / 1440, 4) AS m201603,
            round(sum(minutes_covered) FILTER (date_key // 100 = 201604) / 1440, 4) AS m201604 FROM q GROUP BY 1""")
 def coverage_by_month(spark, d):
-    """Days' worth of covered minutes per meter, months as columns."""
+    """Days' worth of covered minutes per meter, months as columns: those the SQL names and every other month of the readings."""
+    keyed = quality.deliveries(_events(spark, d)).where("meter is not null and ts_source is not null")
+    found = keyed.select(F.call_function("div", calendar.day_key(calendar.local("ts_source", RULES)), F.lit(100)).alias("month")).distinct().collect()
+    months = sorted({201603, 201604} | {r.month for r in found})
     rows = _daily(spark, d).withColumn("month", F.expr("date_key div 100"))
-    wide = rows.groupBy("meter").pivot("month", [201603, 201604]).agg(_round(F.sum("minutes_covered") / 1440, 4))
-    return wide.withColumnsRenamed({"201603": "m201603", "201604": "m201604"})
+    wide = rows.groupBy("meter").pivot("month", months).agg(_round(F.sum("minutes_covered") / 1440, 4))
+    return wide.withColumnsRenamed({str(m): f"m{m}" for m in months})
 
 
 # --- dimensions ----------------------------------------------------------------------------------------------------

@@ -285,6 +285,17 @@ def test_park_and_freshness(events):
     assert (r.events, r.measurements, r.duplicates, r.age_s, r.p50_latency_s) == (9, 8, 1, 15, 1.0)
 
 
+def test_coverage_has_every_month_of_the_readings(spark, events, tmp_path):
+    rows = [event(1, 0, meter_id=" em01"), event(2, 1), event(3, 60 * 24 * 31), event(4, 60 * 24 * 400, meter_id="EM02"), event(5, None)]
+    events(rows).write.parquet(str(tmp_path / "meter_events.parquet"))
+    out = telemetry.coverage_by_month(spark, str(tmp_path))
+    assert out.columns == ["meter", "m201603", "m201604", "m202603", "m202604", "m202704"]
+    assert {r.meter: tuple(r)[1:] for r in out.collect()} == {
+        "EM01": (None, None, round(2 / 1440, 4), round(1 / 1440, 4), None),
+        "EM02": (None, None, None, None, round(1 / 1440, 4)),
+    }
+
+
 def test_assembly(spark):
     fields = ["a", "b"]
     rows = [("E", 1, "a", 1.0, "Good"), ("E", 2, "a", 2.0, "Good"), ("E", 2, "b", 3.0, "Uncertain"), ("E", 2, "b", 3.0, "Good"), ("E", 3, "b", 9.0, "Bad"), ("E", 3, "x", 9.0, "Bad")]
