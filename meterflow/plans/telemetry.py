@@ -540,16 +540,29 @@ _PRICES = """
         FROM (SELECT unnest(generate_series(0, 1499)) AS h))"""
 
 
-def _prices(spark):
-    """A price document as a service would return it: two parallel arrays, some prices null."""
-    h = F.sequence(F.lit(0), F.lit(1499))
+_FIRST_HOUR, _DOC_HOURS = 1456790400 // 3600, 1500
+
+
+def _prices(spark, first: int = 0, last: int = 0):
+    """Price documents as a service would return them: two parallel arrays of 1,500 hours, some prices null.
+
+    Document 0 begins on 2016-03-01; ``first`` to ``last`` are the numbers of the documents asked for.
+    """
+    h = F.sequence(F.col("id") * _DOC_HOURS, F.col("id") * _DOC_HOURS + _DOC_HOURS - 1)
     body = F.to_json(
         F.struct(
-            F.transform(h, lambda x: F.lit(1456790400).cast("bigint") + x * 3600).alias("unix_seconds"),
-            F.transform(h, lambda x: F.when(x % 50 != 0, ((x * 37) % 200 - 20).cast("double"))).alias("price"),
+            F.transform(h, lambda x: (x + _FIRST_HOUR) * 3600).alias("unix_seconds"),
+            F.transform(h, lambda x: F.when(x % 50 != 0, (F.pmod(x * 37, F.lit(200)) - 20).cast("double"))).alias("price"),
         )
     )
-    return market.price_series(spark.range(1).select(body.alias("body")))
+    return market.price_series(spark.range(first, last + 1).select(body.alias("body")))
+
+
+def _prices_of(spark, d):
+    """Prices of all hours from the first to the last measurement: two values."""
+    span = _events(spark, d).agg(*[F.unix_micros(f("ts_source")).alias(n) for n, f in (("first", F.min), ("last", F.max))]).first()
+    number = lambda us: 0 if us is None else (us // 3_600_000_000 - _FIRST_HOUR) // _DOC_HOURS
+    return _prices(spark, number(span["first"]), number(span["last"]))
 
 
 @query(f"WITH {_PRICES} SELECT CAST(hour_epoch AS BIGINT) AS hour_epoch, 'CH' AS zone, eur_mwh FROM p")
@@ -564,7 +577,7 @@ def prices_from_json(spark, d):
 def hourly_mart(spark, d):
     facts = intervals.bucket_facts(_valid(spark, d), RULES)
     keyed = dimensions.with_version(facts, dimensions.versions_of(_master(spark, d)), F.timestamp_seconds("bucket_epoch"))
-    out = market.hourly(keyed, _prices(spark))
+    out = market.hourly(keyed, _prices_of(spark, d))
     return out.select("machine_sk", "hour_epoch", "date_key", F.col("hour_local").cast("int").alias("hour_local"), _round("kwh", 4).alias("kwh"), "eur_mwh", (_round("cost_spot", 5) + 0.0).alias("cost_spot"))
 
 

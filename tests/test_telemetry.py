@@ -285,6 +285,24 @@ def test_park_and_freshness(events):
     assert (r.events, r.measurements, r.duplicates, r.age_s, r.p50_latency_s) == (9, 8, 1, 15, 1.0)
 
 
+def test_every_hour_of_the_readings_has_a_price(spark, events, tmp_path):
+    days = (0, 60, 3700)  # counted from 2016-02-20: before, in and long after the first price document
+    rows = []
+    for k, day in enumerate(days):
+        start = (datetime(2016, 2, 20, 8) + timedelta(days=day) - T0) / timedelta(minutes=1)
+        rows += [event(10 * k + i, start + i, energy_kwh_total=1000.0 + 0.02 * i) for i in range(5)]
+    events(rows).write.parquet(str(tmp_path / "meter_events.parquet"))
+    master = [("2016-01-01", "LS01", "H1", "EM01", "S1", datetime(2016, 1, 1))]
+    spark.createDataFrame(master, "snapshot_date string, machine_id string, hall_id string, meter_id string, meter_serial string, exported_at timestamp").write.parquet(str(tmp_path / "machine_master.parquet"))
+    out = {r.hour_epoch: (r.eur_mwh, r.cost_spot) for r in telemetry.hourly_mart(spark, str(tmp_path)).collect()}
+    numbers = {e: (e - 1456790400) // 3600 for e in out}
+    ends = {(datetime(2016, 2, 20, 8) + timedelta(days=day) - datetime(1970, 1, 1)) // timedelta(seconds=1) for day in days}
+    assert ends <= set(out)
+    assert min(numbers.values()) < 0 and max(numbers.values()) > 1500
+    assert all((price is None) == (cost is None) == (numbers[e] % 50 == 0) for e, (price, cost) in out.items())
+    assert all(price == numbers[e] * 37 % 200 - 20 for e, (price, _) in out.items() if price is not None)
+
+
 def test_coverage_has_every_month_of_the_readings(spark, events, tmp_path):
     rows = [event(1, 0, meter_id=" em01"), event(2, 1), event(3, 60 * 24 * 31), event(4, 60 * 24 * 400, meter_id="EM02"), event(5, None)]
     events(rows).write.parquet(str(tmp_path / "meter_events.parquet"))
