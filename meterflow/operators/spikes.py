@@ -59,8 +59,9 @@ def implausible_readings(events: DataFrame, rules: SpikeRules = SpikeRules()) ->
     the two readings on either side; a step that lasts agrees with what follows.
 
     Defined cases: null values are no case and break a run; NaN, infinite and negative values are range cases; null
-    state counts as a machine that is not off and has no seasonal component; the first and the last reading of a
-    source have one side and are judged by it for spikes, never as departures; repeated deliveries take no part.
+    state counts as a machine that is not off and has no seasonal component; a reading without one, or with no such
+    neighbour, is held against the median of its raw neighbours; the first and the last reading of a source have one
+    side and are judged by it for spikes, never as departures; repeated deliveries take no part.
     """
     r = rules
     us = F.unix_micros("ts_source")
@@ -100,7 +101,7 @@ def implausible_readings(events: DataFrame, rules: SpikeRules = SpikeRules()) ->
         }
     )
     seen = seen.withColumn("season", F.when(F.col("state").isNotNull(), F.try_element_at("cycle", F.col("state"))))
-    seen = seen.withColumn("adjusted", log(F.col("fp")) - F.coalesce(log(F.col("season")), F.lit(0.0)))
+    seen = seen.withColumn("adjusted", log(F.col("fp")) - log(F.col("season")))
     lags = range(1, r.side + 1)
     same = lambda c: (F.col(c) == F.lag(c).over(by)) & ~F.isnan(c) & F.col("on") & F.lag("on").over(by)
     skip = lambda f, n: F.expr(f"{f}(fe, {n}) ignore nulls over (partition by meter, block order by pos)")
@@ -110,6 +111,7 @@ def implausible_readings(events: DataFrame, rules: SpikeRules = SpikeRules()) ->
             "before": _median([F.lag("fp", k).over(by) for k in lags]),
             "after": _median([F.lead("fp", k).over(by) for k in lags]),
             "trend": _median([f("adjusted", k).over(by) for k in lags for f in (F.lag, F.lead)]),
+            "around": _median([f("fp", k).over(by) for k in lags for f in (F.lag, F.lead)]),
             "same_p": F.coalesce(same("p"), F.lit(False)).cast("int"),
             "same_e": F.coalesce(same("e"), F.lit(False)).cast("int"),
             **{f"e_{f}{k}": skip(f, k) for f in ("lag", "lead") for k in (1, 2)},
@@ -119,7 +121,7 @@ def implausible_readings(events: DataFrame, rules: SpikeRules = SpikeRules()) ->
     back = by.rowsBetween(2 - r.run, 0)
     seen = seen.withColumns(
         {f"full_{c}": (F.sum(f"same_{c}").over(back) == r.run - 1).cast("int") for c in ("p", "e")}
-        | {"residual": F.col("adjusted") - F.col("trend")}
+        | {"residual": F.coalesce(F.col("adjusted") - F.col("trend"), log(F.col("fp")) - log(F.col("around")))}
     )
     ahead = by.rowsBetween(0, r.run - 1)
     seen = seen.withColumns(

@@ -116,6 +116,17 @@ def test_spikes_and_departures(events, block):
     }
 
 
+def test_spikes_without_season_are_held_against_raw_neighbours(events):
+    rows = [event(i, i, power_kw=0.2 + 0.001 * (i % 7)) for i in range(60)]
+    rows[20] |= {"power_kw": 1.1, "state": None}
+    rows[40] |= {"power_kw": 1.0, "state": "building"}  # a phase of fewer than min_phase readings
+    assert cases(events, rows) == {20: ("spike", None), 40: ("spike", None)}
+    large = [event(i, i, power_kw=10 + 0.1 * (i % 7), state="idle" if i < 30 else None) for i in range(60)]
+    large[29]["power_kw"] = 100.0
+    large[45] |= {"power_kw": 100.0, "state": "idle"}  # a season, but no neighbour with one
+    assert cases(events, large) == {29: ("spike", None), 45: ("spike", None)}
+
+
 def test_lasting_changes_are_no_cases(events):
     rows = [event(i, i, power_kw=1.5 + 0.01 * (i % 7) + (6 if i >= 20 else 0), state="idle" if i < 20 else "building") for i in range(60)]
     for r in rows[40:]:
