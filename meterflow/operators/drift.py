@@ -32,19 +32,25 @@ def parsed(records: DataFrame, file: str = "file_id", payload: str = "payload")
     return doc.where(F.col("doc").isNotNull() & F.schema_of_variant("doc").startswith("OBJECT"))
 
 
-def fields(spark: SparkSession, docs: DataFrame, depth: int) -> DataFrame:
+def fields(spark: SparkSession, docs: DataFrame, depth: int, places: bool = False) -> DataFrame:
     """One row per leaf field of each document: ``name`` (dotted), ``kind`` (null for a JSON null), ``num``, ``text``.
 
     The elements of an array stand under its name; an empty array or object is a leaf of kind "other". JVM only: each
-    level of nesting is one generator, which passes scalars on as they are.
+    level of nesting is one generator, which passes scalars on as they are. With ``places`` there is also ``place``, the
+    positions that lead to the leaf.
     """
     rows = docs.withColumns({"name": F.lit(None).cast("string"), "value": F.col("doc")}).drop("doc")
     other = [c for c in rows.columns if c not in ("name", "value")]
+    place = []
+    if places:
+        rows = rows.withColumn("place", F.array().cast("array<int>"))
+        place = [F.when(F.col("pos_").isNull(), F.col("place")).otherwise(F.concat("place", F.array("pos_"))).alias("place")]
     for _ in range(depth):
         rows = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("value").outer()).toDF("pos_", "key_", "value_")).select(
             *other,
             F.when(F.col("key_").isNull(), F.col("name")).otherwise(F.concat_ws(".", "name", "key_")).alias("name"),
             F.coalesce("value_", "value").alias("value"),
+            *place,
         )
     rows = rows.where(F.col("name").isNotNull()).withColumn("shape_", F.schema_of_variant("value"))
     shape = F.col("shape_")
@@ -61,6 +67,7 @@ def fields(spark: SparkSession, docs: DataFrame, depth: int) -> DataFrame:
         kind.alias("kind"),
         F.when(scalar, F.try_variant_get("value", "$", "double")).alias("num"),
         F.when(kind.isNotNull(), F.try_variant_get("value", "$", "string")).alias("text"),
+        *(["place"] if places else []),
     )
 
 
@@ -302,6 +309,8 @@ def unified_readings(records: DataFrame, files: DataFrame, rules: DriftRules = D
     Renames are followed through each feed. A quantity takes the target column one of its names has; if none has, the
     target its name is most often renamed from or to in all feeds; else it stays in ``extras`` under its last name.
     Values are cast to the target type; what cannot be cast is null. Times may be ISO text or epoch milliseconds.
+    Several values of one record and column (elements of an array, or fields that map to one column) stand in ``extras``
+    as the text of a JSON array, in their order; a target column then also has the last of them in sort order of texts.
     Unreadable lines are left out, records of unknown files keep their names.
     """
     spark = records.sparkSession
@@ -328,10 +337,17 @@ def unified_readings(records: DataFrame, files: DataFrame, rules: DriftRules = D
     column = quantities.join(own, "lineage").join(voted, "name", "left").select("file", "name", F.coalesce("hit", "voted", "last_name").alias("column"))
     maps = column.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("name", "column"))).alias("columns"))
     placed = salted_left_join(docs, maps, "file", "record_id")
-    cells = fields(spark, placed, rules.depth).withColumn("column", F.coalesce(F.try_element_at("columns", F.col("name")), F.col("name")))
-    wide = cells.groupBy("record_id", "file").agg(
+    cells = fields(spark, placed, rules.depth, places=True).withColumn("column", F.coalesce(F.try_element_at("columns", F.col("name")), F.col("name")))
+    quoted = F.to_json(F.array("text"))
+    json = F.when(F.col("text").isNull(), "null").when(F.col("kind") != "string", F.col("text")).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+    each = cells.groupBy("record_id", "file", "column").agg(
+        F.max("text").alias("text"), F.count("text").alias("values"), F.sort_array(F.collect_list(F.struct("place", json.alias("json")))).alias("all")
+    )
+    several = F.concat(F.lit("["), F.array_join("all.json", ","), F.lit("]"))
+    extra = F.struct("column", F.when(F.size("all") > 1, several).otherwise(F.col("text")).alias("text"))
+    wide = each.groupBy("record_id", "file").agg(
         *[F.max(F.when(F.col("column") == c, F.col("text"))).alias(c) for c in target],
-        F.sort_array(F.collect_list(F.when(~F.col("column").isin(*target), F.struct("column", "text")))).alias("more"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(~F.col("column").isin(*target) | (F.col("values") > 1), extra)))).alias("extras"),
     )
 
     def cast(name: str, kind: str) -> Column:
@@ -340,5 +356,4 @@ def unified_readings(records: DataFrame, files: DataFrame, rules: DriftRules = D
             return F.coalesce(F.try_to_timestamp(text), F.timestamp_millis(text.try_cast("bigint"))).alias(name)
         return (text.try_cast("double").try_cast(kind) if kind in ("int", "bigint") else text.try_cast(kind)).alias(name)
 
-    last = F.aggregate("more", F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x["column"]), F.create_map(x["column"], x["text"])))
-    return wide.select("record_id", F.col("file").alias("file_id"), *[cast(c, k) for c, k in target.items()], last.alias("extras"))
+    return wide.select("record_id", F.col("file").alias("file_id"), *[cast(c, k) for c, k in target.items()], "extras")

@@ -378,6 +378,15 @@ def test_nested_fields_have_dotted_names(spark):
     assert got == {("a.b.c", "number"), ("d", "number"), ("d.x", "string"), ("e", "other"), ("g", "other"), ("f", None)}
 
 
+def test_no_value_of_an_array_is_lost(spark):
+    line = {"power_kw": [3.5, 10, 2], "tags": ["b", 'a"\\', None, True], "one": ["x"], "d": [{"x": 2}, {"x": 1}], "state": [None, "idle"]}
+    records, files = feed(spark, [[line]])
+    (row,) = drift.unified_readings(records, files).collect()
+    extras = {k: json.loads(v) if v.startswith("[") else v for k, v in row.extras.items()}
+    assert extras == {"power_kw": [3.5, 10, 2], "tags": ["b", 'a"\\', None, True], "one": "x", "d.x": [2, 1]}
+    assert row.power_kw == 3.5 and row.state == "idle"
+
+
 # --- all queries of the problems run on the smallest tables ---
 
 
