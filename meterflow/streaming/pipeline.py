@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import Rules
-from ..operators.dedup import BucketStore
+from ..operators.dedup import BucketStore, meter_key
 from ..operators.quality import checked_increment, deliveries
 from ..session import shipped
 from ..store import TableStore
@@ -59,8 +59,9 @@ def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]
 
 
 def distinct_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First copy per (meter, measurement time) with state bounded by the watermark."""
-    return events.withWatermark("ts_source", delay).dropDuplicatesWithinWatermark(["meter_id", "ts_source"])
+    """First copy per (meter, measurement time) with state bounded by the watermark; spellings of a meter are one."""
+    keyed = events.withWatermark("ts_source", delay).withColumn("meter_key_", meter_key())
+    return keyed.dropDuplicatesWithinWatermark(["meter_key_", "ts_source"]).drop("meter_key_")
 
 
 def power_windows(events: DataFrame, width: str = "1 minute", delay: str = "10 minutes") -> DataFrame:

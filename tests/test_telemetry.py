@@ -470,6 +470,17 @@ def test_stateful_streams(spark, events, tmp_path):
     assert spark.table("distinct_rows").count() == 31
 
 
+def test_distinct_stream_knows_spellings_of_a_meter(spark, events, tmp_path):
+    rows = events([event(1, 0), event(2, 0, meter_id=" em01 "), event(3, 0, meter_id="EM02"), event(4, 1, meter_id="Em01")])
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    distinct = pipeline.distinct_stream(readers.event_stream(spark, str(tmp_path / "in"), rows.schema))
+    assert distinct.columns == rows.columns
+    q = distinct.writeStream.format("memory").queryName("distinct_meters").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [(r.meter_id.strip().upper(), r.ts_source) for r in spark.table("distinct_meters").collect()]
+    assert sorted(got) == [("EM01", at(0)), ("EM01", at(1)), ("EM02", at(0))]
+
+
 def test_assembling_a_stream(spark, tmp_path):
     rows = [("E", 1, "a", 1.0), ("E", 1, "b", 1.0), ("E", 2, "a", 2.0), ("E", 3, "a", 3.0), ("E", 2, "b", 2.0), ("E", 3, "b", 3.0)]
     schema = "meter string, us bigint, field string, value double"
