@@ -92,11 +92,13 @@ def newest_first_out(rows: DataFrame, n: int) -> DataFrame:
     return newest.orderBy("ts_edge", "ingest_id")
 
 
-def park_power(readings: DataFrame, window_s: int = 60) -> DataFrame:
-    """Mean power per machine and tumbling window, summed over the machines."""
+def park_power(readings: DataFrame, window_s: int = 60, as_of: datetime | None = None) -> DataFrame:
+    """Mean power per machine and tumbling window, summed over the machines; with ``as_of`` only windows that end by then."""
     width = window_s * 1_000_000
     start = period(F.unix_micros("ts_source"), width) * window_s
     each = readings.where("machine_id is not null and ts_source is not null and power_kw is not null and not isnan(power_kw)").groupBy("machine_id", start.alias("window_epoch")).agg(F.avg("power_kw").alias("kw"))
+    if as_of is not None:
+        each = each.where((F.col("window_epoch") + window_s) * 1_000_000 <= F.unix_micros(F.lit(as_of)))
     return each.groupBy("window_epoch").agg(
         F.sum("kw").alias("park_kw"), F.count(F.lit(1)).alias("machines"), F.approx_count_distinct("machine_id").alias("machines_approx")
     )

@@ -314,6 +314,12 @@ def test_coverage_has_every_month_of_the_readings(spark, events, tmp_path):
     }
 
 
+def test_park_power_leaves_out_the_unfinished_window(events):
+    kept = quality.deduplicated(quality.deliveries(events([event(i, i / 2) for i in range(5)])))  # 0 to 2 minutes
+    windows = lambda as_of: realtime.park_power(kept, 60, as_of).count()
+    assert [windows(a) for a in (None, at(3), at(2.5), at(2), at(1.9))] == [3, 3, 2, 2, 1]
+
+
 def test_assembly(spark):
     fields = ["a", "b"]
     rows = [("E", 1, "a", 1.0, "Good"), ("E", 2, "a", 2.0, "Good"), ("E", 2, "b", 3.0, "Uncertain"), ("E", 2, "b", 3.0, "Good"), ("E", 3, "b", 9.0, "Bad"), ("E", 3, "x", 9.0, "Bad")]
