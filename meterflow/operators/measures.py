@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quality import REASONS
+
 
 @dataclass(frozen=True)
 class Measure:
@@ -107,6 +109,32 @@ HOURLY = [
 ]
 
 
+QUARTERS = [
+    Measure("peak_share", "quarters", lambda see: ratio(F.sum(see(F.when(F.col("time_band") == "peak", F.col("kwh")))), F.sum(see(F.col("kwh"))))),
+]
+
+_known, _idle = {"state": lambda c: c != "unknown"}, {"state": lambda c: c == "idle"}
+STATES = [
+    total("hours", fact="states", name="state_hours"),
+    Measure("idle_share", "states", lambda see: ratio(F.sum(see(F.when(F.col("state") == "idle", F.col("hours")))), F.sum(see(F.col("hours")))), _known),
+    total("kwh", _idle, fact="states", name="idle_energy_kwh"),
+]
+
+HEAT_UPS = [
+    Measure("heat_ups", "heat_ups", lambda see: F.count(see(F.lit(1)))),
+    Measure("heat_up_overruns", "heat_ups", lambda see: F.count(see(F.lit(1))), {"is_long": lambda c: c}),
+    Measure("heat_up_overrun_rate", "heat_ups", lambda see: ratio(F.count(see(F.when(F.col("is_long"), 1))), F.count(see(F.lit(1))))),
+    Measure("avg_heat_up_h", "heat_ups", lambda see: F.avg(see(F.col("duration_h")))),
+    total("kwh", fact="heat_ups", name="heat_up_energy_kwh"),
+]
+
+DAY_MINUTES = 1440
+QUALITY = [
+    Measure("rejected_readings", "quality", lambda see: sum((F.sum(see(F.col(f"rejected_{r}"))) for r in REASONS), F.lit(0))),
+    Measure("dq_completeness", "quality", lambda see: ratio(F.sum(see(F.col("minutes_covered"))), F.sum(see(F.lit(DAY_MINUTES))))),
+]
+
+
 def time_weighted_price(mart: DataFrame, *by: str) -> DataFrame:
     """Mean over distinct hours of the hour's price."""
     return mart.groupBy(*by, "hour_start_utc").agg(F.max("spot_eur_mwh").alias("p")).groupBy(*by).agg(F.avg("p").alias("market_price"))
