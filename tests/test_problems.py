@@ -20,7 +20,7 @@ from meterflow.operators.grid import regular_grid
 from meterflow.operators.history import attribute_history
 from meterflow.operators.late import corrected_hours, late_state, merge_states
 from meterflow.operators.sequences import numbered, overlapping, running_total
-from meterflow.operators.spikes import SpikeRules, esd_limit, implausible_readings, t_quantile
+from meterflow.operators.spikes import SpikeRules, esd_limits, implausible_readings, with_esd_critical, with_t_quantile
 from meterflow.plans import problems
 
 
@@ -153,12 +153,69 @@ def test_repeated_deliveries_take_no_part(events):
     assert cases(events, rows) == {}
 
 
-def test_esd_limits(spark):
-    one = spark.range(1).select(
-        t_quantile(F.lit(0.025), F.lit(30.0)).alias("t"), esd_limit(F.lit(54), F.lit(1), 0.05).alias("a"), esd_limit(F.lit(54), F.lit(3), 0.05).alias("b")
-    ).first()
+def wobbling(events, low, high, jumps):
+    """A source that switches at random between two levels, with single readings at ``jumps`` times the higher one."""
+    rng = random.Random(5)
+    rows = [event(i, i, power_kw=(high if rng.random() < 0.5 else low) * rng.uniform(0.99, 1.01)) for i in range(400)]
+    for i, factor in jumps.items():
+        rows[i]["power_kw"] = high * factor
+    return rows
+
+
+def test_spikes_are_relative_to_the_noise_of_the_source(events):
+    assert cases(events, wobbling(events, 4.0, 4.04, {150: 2.1})) == {150: ("spike", None)}
+    assert cases(events, wobbling(events, 1.2, 4.0, {150: 3.0})) == {}
+    assert cases(events, wobbling(events, 1.2, 4.0, {150: 30.0})) == {150: ("spike", None)}
+
+
+def test_test_and_season_decide(events):
+    rows = [event(i, i, power_kw=(0.1 if i % 60 < 30 else 6.0) * (1 + 0.01 * (i % 5)), state="idle" if i % 60 < 30 else "building") for i in range(600)]
+    rows[88]["power_kw"] = 1.0  # ten times the level of its phase, just before a phase of six kilowatts
+    rows[315] |= {"state": "building", "power_kw": 6.0}  # one reading of another phase, at that phase's level
+    assert cases(events, rows) == {88: ("spike", None)}
+    assert cases(events, rows, seasonal=False) == {315: ("spike", None)}
+    assert cases(events, rows, alpha=1e-300) == {}
+
+
+def test_strong_outliers_do_not_hide_weak_ones(events):
+    rows = wobbling(events, 4.0, 4.04, {50: 200.0, 90: 150.0, 130: 100.0, 170: 40.0, 210: 2.2})
+    for i in (60, 100, 140):
+        rows[i]["power_kw"] = 0.0
+    assert set(cases(events, rows)) == {50, 90, 130, 170, 210}
+
+
+def test_limits_equal_a_sequential_test(spark):
+    rng = np.random.default_rng(7)
+    rules, data = SpikeRules(most=0.2), {}
+    for k in range(12):
+        n = int(rng.integers(8, 300))
+        data[f"m{k:02d}"] = np.concatenate([rng.normal(0, 0.1 + 0.05 * k, n), rng.uniform(0.5, 4, int(rng.integers(0, 6)))])
+    critical = {}
+    pairs = [(len(x), i) for x in data.values() for i in range(1, len(x) + 1)]
+    for r in with_esd_critical(spark.createDataFrame(pairs, "n int, i int"), "n", "i", rules.alpha).collect():
+        critical[r.n, r.i] = r.critical
+    want = {}
+    for m, x in data.items():
+        order, limit = sorted(x, key=lambda v: -abs(v)), None
+        for i in range(1, min(len(x) - 1, max(3, int(np.ceil(len(x) * rules.most)))) + 1):
+            rest = np.array(order[i - 1 :])
+            if order[i - 1] > 0 and (order[i - 1] - rest.mean()) / max(rest.std(ddof=1), rules.min_sigma) > critical[len(x), i]:
+                limit = order[i - 1]
+        want[m] = limit
+    rows = spark.createDataFrame([(m, float(v)) for m, x in data.items() for v in x], "meter string, residual double")
+    sums = rows.groupBy("meter").agg(F.count("residual").alias("n"), F.sum("residual").alias("t1"), F.sum(F.col("residual") ** 2).alias("t2"))
+    got = {r.meter: r.limit for r in esd_limits(sums, rows.where("abs(residual) >= 0.3"), rules).collect()}
+    assert set(got) == set(want) and sum(v is not None for v in want.values()) > 4
+    for m, limit in want.items():
+        assert (got[m] is None) == (limit is None)
+        assert limit is None or got[m] == pytest.approx(limit, abs=2e-3)
+
+
+def test_critical_values(spark):
+    one = with_t_quantile(spark.range(1), F.lit(0.025), F.lit(30.0)).first()
     assert one.t == pytest.approx(2.042, abs=2e-3)
-    assert one.a == pytest.approx(3.158794, abs=2e-3) and one.b == pytest.approx(3.143890, abs=2e-3)  # published table
+    rows = with_esd_critical(spark.createDataFrame([(54, 1), (54, 3)], "n int, i int"), "n", "i", 0.025).collect()
+    assert sorted(r.critical for r in rows) == pytest.approx([3.143890, 3.158794], abs=2e-3)  # published two-sided table for 0.05
 
 
 # --- p4 ---
