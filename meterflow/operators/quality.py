@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Rules
 from .dedup import ARRIVAL, keep_first, meter_key
-from .sequences import blocked, in_block
+from .sequences import neighbours
 
 # fixed values: names of the rules, and the columns a reading cannot do without
 REASONS = ("missing_value", "bad_status", "negative_value", "implausible_power", "spike")
@@ -43,11 +43,8 @@ def checked(rows: DataFrame, rules: Rules) -> DataFrame:
     kept = deduplicated(rows).withColumn("us", F.unix_micros("ts_source"))
     keyed = F.col("meter").isNotNull() & F.col("us").isNotNull()
     beside = F.when(F.col("opc_status") != "Bad", F.col("power_kw"))
-    placed = blocked(kept, "meter", "us")
-    by = in_block("meter")
-    placed = placed.withColumns({"before": F.lag(beside).over(by), "after": F.lead(beside).over(by)}).where("own")
-    loose = kept.where(~keyed)
-    everything = placed.drop("pos", "block", "own").unionByName(loose, allowMissingColumns=True)
+    placed = neighbours(kept, "meter", ["us"], {"before": beside}, {"after": beside})
+    everything = placed.unionByName(kept.where(~keyed), allowMissingColumns=True)
     kw = F.col("power_kw")
     spike = (kw > rules.spike_min_kw) & F.col("before").isNotNull() & F.col("after").isNotNull() & (kw > F.greatest("before", "after") * rules.spike_ratio)
     reason = (

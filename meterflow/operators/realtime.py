@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import period
 from .dedup import keep_first
-from .sequences import blocked, in_block, numbered, running_total
+from .sequences import SLICE_US, numbered, runs
 
 
 def _since(as_of: datetime, seconds: float) -> Column:
@@ -35,13 +35,9 @@ def recent_runs(readings: DataFrame, as_of: datetime, lookback_s: float, scale:
     ``scale`` divides durations (replays that run faster than time). A null state is a state of its own.
     """
     rows = readings.where(_since(as_of, lookback_s)).select("machine_id", "ingest_id", "state", F.unix_micros("ts_source").alias("us"))
-    by = in_block("machine_id")
-    rows = blocked(rows, "machine_id", "us", "ingest_id")
-    new = (F.lag("us").over(by).isNull() | ~F.col("state").eqNullSafe(F.lag("state").over(by))).cast("int")
-    rows = running_total(rows.withColumn("new", new).where("own"), "machine_id", "new", "run_id")
-    return rows.groupBy("machine_id", "run_id").agg(
-        F.min("us").alias("start_us"), F.max("us").alias("last_us"), F.min("state").alias("state"), F.count(F.lit(1)).alias("readings")
-    ).withColumn("duration_h", F.round((F.col("last_us") - F.col("start_us")) / 3.6e9 / scale + 1e-9, 2))
+    us = F.col("us")
+    out = runs(rows, "machine_id", ["us", "ingest_id"], "state", {"start_us": ("min", us), "last_us": ("max", us), "readings": ("sum", F.lit(1))})
+    return out.withColumn("duration_h", F.round((F.col("last_us") - F.col("start_us")) / 3.6e9 / scale + 1e-9, 2))
 
 
 def recent_runs_of(runs: DataFrame, state: str, threshold_h: float) -> DataFrame:
@@ -72,9 +68,14 @@ def transitions(polls: DataFrame) -> DataFrame:
     taken with false first.
     """
     rows = polls.select("machine_id", F.col("poll").cast("bigint").alias("poll"), F.coalesce("alert", F.lit(False)).alias("alert"))
-    placed = blocked(rows, "machine_id", "poll", "alert")
-    before = F.coalesce(F.lag("alert").over(in_block("machine_id")), F.lit(False))
-    return placed.withColumn("was", before).where("own and alert and not was").select("machine_id", "poll", "alert")
+    by = Window.partitionBy("machine_id", "slice_").orderBy("poll", "alert")
+    rows = rows.where("machine_id is not null and poll is not null").withColumn("slice_", period("poll", SLICE_US))
+    rows = rows.withColumns({"was": F.lag("alert").over(by), "last_": F.lead(F.lit(1)).over(by).isNull()})
+    # the ends of slices and what may be a change: few enough to be ordered once more per machine
+    few = rows.where("last_ or (alert and not coalesce(was, false))")
+    across = Window.partitionBy("machine_id").orderBy("poll", "alert", F.col("was").desc_nulls_last())
+    few = few.withColumn("was", F.coalesce("was", F.lag("alert").over(across), F.lit(False)))
+    return few.where("alert and not was").select("machine_id", "poll", "alert")
 
 
 def arrival_numbers(rows: DataFrame) -> DataFrame:
@@ -105,16 +106,33 @@ def park_power(readings: DataFrame, window_s: int = 60, as_of: datetime | None =
 
 
 def freshness(rows: DataFrame, as_of: datetime, lookback_s: float) -> DataFrame:
-    """Deliveries, measurements (exact distinct), duplicates and latency percentiles in the lookback."""
-    seconds = (F.unix_micros("ts_edge") - F.unix_micros("ts_source")) / 1e6
-    recent = rows.where(_since(as_of, lookback_s) & F.col("meter").isNotNull()).withColumn("latency_s", seconds)
-    out = recent.agg(
-        F.count(F.lit(1)).alias("events"),
-        F.count_distinct("meter", "ts_source").alias("measurements"),
-        F.max("ts_source").alias("last"),
-        *[F.expr(f"percentile_disc({p}) within group (order by latency_s)").alias(f"p{int(p * 100)}_latency_s") for p in (0.5, 0.95)],
+    """Deliveries, measurements (exact distinct), duplicates and exact latency percentiles in the lookback.
+
+    Deliveries are counted per (meter, measurement) and per latency. The latencies are gathered in some thousand bins,
+    which tell where a percentile lies, and only the latencies of that bin are ranked: no task holds all of them.
+    """
+    latency = F.unix_micros("ts_edge") - F.unix_micros("ts_source")
+    recent = rows.where(_since(as_of, lookback_s) & F.col("meter").isNotNull())
+    totals = recent.groupBy("meter", "ts_source").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n").alias("events"), F.count(F.lit(1)).alias("measurements"), F.max("ts_source").alias("last")
+    )
+    counts = recent.select(latency.alias("us")).where("us is not null").groupBy("us").agg(F.count(F.lit(1)).alias("n"))
+    # a bin is a second up to an hour of latency, an hour beyond
+    width = F.when(F.abs("us") < 3_600_000_000, 1_000_000).otherwise(3_600_000_000)
+    counts = counts.withColumn("bin", F.floor(F.col("us") / width) * width)
+    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bins = counts.groupBy("bin").agg(F.sum("n").alias("n")).withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(every)})
+    shares = F.explode(F.array(F.lit(0.5), F.lit(0.95))).alias("p")
+    held = bins.select("bin", shares, (F.col("upto") - F.col("n")).alias("below"), "upto", F.col("total")).withColumn("rank", F.ceil(F.col("p") * F.col("total")))
+    held = held.where((F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("upto"))).drop("upto", "total")
+    inside = Window.partitionBy("p").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(held, "bin").withColumn("at", F.col("below") + F.sum("n").over(inside))
+    found = ranked.where(F.col("at") >= F.col("rank")).agg(
+        *[F.min(F.when(F.col("p") == p, F.col("us") / 1e6)).alias(f"p{int(p * 100)}_latency_s") for p in (0.5, 0.95)]
     )
-    return out.select(
+    both = totals.unionByName(found, allowMissingColumns=True)  # two rows become one
+    return both.agg(*[F.max(c).alias(c) for c in both.columns]).select(
         "events", "measurements", (F.col("events") - F.col("measurements")).alias("duplicates"),
         F.unix_micros("last").alias("last_us"), F.floor((F.unix_micros(F.lit(as_of)) - F.unix_micros("last")) / 1_000_000).alias("age_s"),
         "p50_latency_s", "p95_latency_s",

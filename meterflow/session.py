@@ -26,13 +26,15 @@ SETTINGS = {
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
-    On a cluster it is what ``spark.checkpoint.dir`` names. Where that is unset (tests, a laptop) a temporary folder
-    is made once per session, put into the setting and removed at exit.
+    On a cluster it is what ``spark.checkpoint.dir`` names, and an error if that is unset. Only a local master may do
+    without: a temporary folder is then made once per session and removed at exit.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = getattr(spark.sparkContext, "_meterflow_dir", None)
         if path is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that every executor can reach")
             path = tempfile.mkdtemp(prefix="meterflow-")
             spark.sparkContext._meterflow_dir = path
             atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -104,8 +106,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def partitions(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """Number of partitions or buckets where adaptive execution cannot choose it: the session's, or more if the
+    estimated size of ``df`` asks for more. ``df`` should hold no join, whose estimate is a product."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if df is None:
+        return least
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(least, -(-size // PARTITION_BYTES)), 100_000)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

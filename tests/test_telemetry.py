@@ -5,18 +5,21 @@ from __future__ import annotations
 import json
 import math
 import os
+import random
 import shutil
 import time
 from datetime import date, datetime, timedelta
 from pathlib import Path
 
 import pytest
-from conftest import DATA, T0, at, event
+from conftest import DATA, START, later, reading
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from meterflow.config import Rules
 from meterflow.functions import calendar, electrics
-from meterflow.operators import daily, dimensions, intervals, market, measures, quality, realtime
+from meterflow.operators import daily, dimensions, intervals, market, measures, quality, realtime, sequences
 from meterflow.pipeline import Step, run_daily
 from meterflow.plans import telemetry
 from meterflow.schema import BRONZE
@@ -27,140 +30,275 @@ from meterflow.streaming import pipeline
 R = Rules()
 
 
-def flagged(events, rows):
-    return {r.ingest_id: r for r in quality.checked(quality.deliveries(events(rows)), R).collect()}
-
-
-def valid(events, rows):
-    return quality.valid_readings(events(rows), R)
-
-
-# --- quality -------------------------------------------------------------------------------------------------------
-
-
-def test_rules_in_order(events):
-    rows = [event(i, i, power_kw=1.5) for i in range(12)]
-    rows[1]["opc_status"] = "Bad"
-    rows[3]["power_kw"] = 25.0
-    rows[5]["power_kw"] = 12.0
-    rows[6]["opc_status"] = "Uncertain"
-    rows[7]["ts_edge"] = at(47)
-    rows[8]["state"] = None
-    rows[9]["power_kw"] = -1.0
-    rows[10] |= {"power_kw": -1.0, "opc_status": "Bad"}
-    rows[11]["power_kw"] = float("nan")
-    rows += [event(20, None), event(21, 3, meter_id=None), event(22, 30, energy_kwh_total=float("nan"))]
-    got = flagged(events, rows)
-    assert {i: r.dq_reason for i, r in got.items() if r.dq_reason} == {
-        1: "bad_status", 3: "implausible_power", 5: "spike", 8: "missing_value", 9: "negative_value", 10: "bad_status", 11: "implausible_power",
-        20: "missing_value", 21: "missing_value", 22: "missing_value",
+# --- the pipeline against a model in plain Python --------------------------------------------------------------------
+
+
+def dirty(seed: int, n: int = 90) -> list[dict]:
+    """Readings of two machines over two days with everything that goes wrong: copies, faults, gaps, exchanged meters."""
+    rng, rows, minute = random.Random(seed), [], 0.0
+    counter = {"W-031": 7000.0, "W-032": 40.0}
+    for i in range(n):
+        minute += rng.choice([0.5, 3, 4.9, 5.1, 20, 200 if i % 30 == 0 else 12])
+        meter = rng.choice(list(counter))
+        counter[meter] += rng.choice([0, 0.01, 0.4, 2, 900 if i % 25 == 7 else 1])
+        if i % 31 == 11:
+            counter[meter] = rng.choice([0.02, 300.0])
+        swapped = minute > 1400
+        row = reading(
+            i, minute, meter_id=meter, machine_id="PRINT-A" if (meter == "W-031") != swapped else "PRINT-B", energy_kwh_total=counter[meter],
+            state=rng.choice(["idle", "heat_up", "building", "building", "cool_down"]), power_kw=rng.choice([1.0, 2.5, 3.0, 6.5, 19.5]),
+            opc_status=rng.choice(["Good"] * 8 + ["Uncertain", "Bad"]),
+        )
+        row["job_id"] = f"job {i // 20}" if row["state"] == "building" else None
+        fault = rng.randrange(25)
+        if fault == 0:
+            row[rng.choice(["machine_id", "meter_id", "state", "power_kw", "energy_kwh_total", "ts_source", "opc_status"])] = None
+        row |= {1: {"power_kw": -0.5}, 2: {"power_kw": 33.0}, 3: {"energy_kwh_total": -2.0}, 4: {"ts_edge": later(minute + 7)}, 5: {"energy_kwh_total": float("nan")}, 6: {"ts_edge": None}}.get(fault, {})
+        rows.append(row)
+        if fault in (7, 8):
+            rows.append(row | {"ingest_id": 1000 + i, "ts_edge": later(minute + rng.choice([-1, 9])), "meter_id": f" {(row['meter_id'] or 'w-031').lower()}", "power_kw": 4.0})
+    rng.shuffle(rows)
+    return rows
+
+
+def key_of(row) -> str | None:
+    return row["meter_id"] and row["meter_id"].strip().upper()
+
+
+def model_checked(rows) -> dict[int, tuple[dict, str | None]]:
+    first = {}
+    for row in sorted(rows, key=lambda x: (x["ts_edge"] is None, x["ts_edge"] or START, x["ingest_id"])):
+        first.setdefault((key_of(row), row["ts_source"]), row)
+    series = {}
+    for (meter, taken), row in first.items():
+        if meter and taken:
+            series.setdefault(meter, []).append(row)
+    out = {}
+    for rows_of in series.values():
+        rows_of.sort(key=lambda x: x["ts_source"])
+        usable = [x["power_kw"] if x["opc_status"] in ("Good", "Uncertain") else None for x in rows_of]
+        for i, row in enumerate(rows_of):
+            sides = [usable[k] if 0 <= k < len(usable) else None for k in (i - 1, i + 1)]
+            out[row["ingest_id"]] = (row, sides)
+    verdicts = {}
+    for row in first.values():
+        kw, kwh, sides = row["power_kw"], row["energy_kwh_total"], out.get(row["ingest_id"], (row, [None, None]))[1]
+        needed = (row["machine_id"], key_of(row), row["ts_source"], row["state"], kw, kwh, row["opc_status"])
+        if None in needed or math.isnan(kwh):
+            verdict = "missing_value"
+        elif row["opc_status"] == "Bad":
+            verdict = "bad_status"
+        elif kw < 0 or kwh < 0:
+            verdict = "negative_value"
+        elif kw > R.max_power_kw:
+            verdict = "implausible_power"
+        else:
+            verdict = "spike" if kw > R.spike_min_kw and None not in sides and kw > R.spike_ratio * max(sides) else None
+        verdicts[row["ingest_id"]] = (row, verdict)
+    return verdicts
+
+
+def model_steps(rows) -> list[dict]:
+    last, out = {}, []
+    good = [row for row, verdict in model_checked(rows).values() if verdict is None]
+    for row in sorted(good, key=lambda x: x["ts_source"]):
+        before = last.get(key_of(row))
+        step = {"row": row, "before": before, "kwh": None, "restart": False, "broken": False, "gap": False, "state": None}
+        if before is not None:
+            seconds = (row["ts_source"] - before["ts_source"]).total_seconds()
+            rise, possible = row["energy_kwh_total"] - before["energy_kwh_total"], seconds * R.max_power_kw / 3600
+            step["gap"] = seconds > R.gap_s
+            step["state"] = "unknown" if step["gap"] else before["state"]
+            step["restart"] = rise < 0 and row["energy_kwh_total"] <= possible + R.new_meter_kwh
+            step["broken"] = not step["restart"] and not 0 <= rise <= possible
+            step["kwh"] = None if step["broken"] else row["energy_kwh_total"] if step["restart"] else rise
+        last[key_of(row)] = row
+        out.append(step)
+    return out
+
+
+def model_runs(rows) -> list[dict]:
+    machines = {}
+    for step in sorted(model_steps(rows), key=lambda s: (s["row"]["ts_source"], key_of(s["row"]), s["row"]["ingest_id"])):
+        machines.setdefault(step["row"]["machine_id"], []).append(step)
+    out = []
+    for machine, steps in machines.items():
+        runs = []
+        for step in steps:
+            if runs:
+                runs[-1]["kwh"].append(step["kwh"])
+                runs[-1]["gap"] |= step["gap"]
+            if not runs or runs[-1]["state"] != step["row"]["state"]:
+                runs.append({"machine": machine, "state": step["row"]["state"], "steps": [], "kwh": [], "gap": False})
+            runs[-1]["steps"].append(step["row"])
+        for i, run in enumerate(runs):
+            run["start"], run["open"], run["first"] = run["steps"][0]["ts_source"], i + 1 == len(runs), i == 0
+            run["end"] = run["steps"][-1]["ts_source"] if run["open"] else runs[i + 1]["steps"][0]["ts_source"]
+            run["energy"] = sum(x for x in run["kwh"] if x is not None)
+        for i, run in enumerate(runs):
+            run["prev"], run["next"] = runs[i - 1] if i else None, runs[i + 1] if i + 1 < len(runs) else None
+        out += runs
+    return out
+
+
+def micros(t: datetime) -> int:
+    return (t - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+
+
+def valid(frame, rows):
+    return quality.valid_readings(frame(rows), R)
+
+
+SEEDS = given(st.integers(0, 10**6))
+
+
+@settings(max_examples=5, deadline=None)
+@SEEDS
+def test_checks_equal_the_model(frame, seed):
+    rows = dirty(seed)
+    got = {r.ingest_id: r for r in quality.checked(quality.deliveries(frame(rows)), R).collect()}
+    want = model_checked(rows)
+    assert {i: r.dq_reason for i, r in got.items()} == {i: verdict for i, (_, verdict) in want.items()}
+    for i, (row, _) in want.items():
+        late = None if row["ts_edge"] is None or row["ts_source"] is None else (row["ts_edge"] - row["ts_source"]).total_seconds() > R.late_s
+        assert got[i].is_late is late and got[i].is_uncertain is (row["opc_status"] and row["opc_status"] == "Uncertain")
+
+
+@settings(max_examples=4, deadline=None)
+@SEEDS
+def test_intervals_and_buckets_equal_the_model(frame, seed):
+    rows = dirty(seed)
+    want = {s["row"]["ingest_id"]: s for s in model_steps(rows)}
+    steps = intervals.counter_deltas(valid(frame, rows), R)
+    got = {r.ingest_id: r for r in steps.collect()}
+    assert set(got) == set(want)
+    for i, s in want.items():
+        assert (got[i].counter_reset, got[i].counter_discontinuity, got[i].is_gap, got[i].interval_state) == (s["restart"], s["broken"], s["gap"], s["state"])
+        assert got[i].delta_kwh == (None if s["kwh"] is None else pytest.approx(s["kwh"]))
+    spread: dict = {}
+    for s in want.values():
+        if s["kwh"] is None or s["before"] is None:
+            continue
+        a, b = micros(s["before"]["ts_source"]), micros(s["row"]["ts_source"])
+        for bucket in range(a // 900_000_000, (b - 1) // 900_000_000 + 1):
+            share = (min(b, (bucket + 1) * 900_000_000) - max(a, bucket * 900_000_000)) / (b - a)
+            k = (s["row"]["machine_id"], bucket * 900, s["state"])
+            spread[k] = spread.get(k, 0.0) + s["kwh"] * share
+    parts = intervals.in_buckets(steps, R).groupBy("machine_id", "bucket_epoch", "state").agg(F.sum("kwh").alias("kwh")).collect()
+    assert {(p.machine_id, p.bucket_epoch, p.state): p.kwh for p in parts} == pytest.approx(spread)
+
+
+@settings(max_examples=4, deadline=None)
+@SEEDS
+def test_runs_and_jobs_equal_the_model(frame, seed):
+    rows = dirty(seed)
+    want = model_runs(rows)
+    runs = intervals.state_runs(valid(frame, rows), R)
+    got = {(r.machine_id, r.start_us): r for r in runs.collect()}
+    assert set(got) == {(w["machine"], micros(w["start"])) for w in want}
+    for w in want:
+        r = got[w["machine"], micros(w["start"])]
+        assert (r.state, r.end_us, r.is_open, r.is_first, r.has_gap, r.readings) == (w["state"], micros(w["end"]), w["open"], w["first"], w["gap"], len(w["steps"]))
+        assert r.kwh == pytest.approx(w["energy"])
+        assert (r.prev_state, r.next_state) == tuple(x and x["state"] for x in (w["prev"], w["next"]))
+    whole = [w for w in want if not w["open"] and not w["first"]]
+    hours = lambda w: (w["end"] - w["start"]).total_seconds() / 3600
+    heats = {(r.machine_id, r.start_us): (r.is_long, r.job_id) for r in intervals.warm_ups(runs, R).collect()}
+    job = lambda w: max((x["job_id"] for x in w["steps"] if x["job_id"]), default=None)
+    assert heats == {
+        (w["machine"], micros(w["start"])): (hours(w) > R.long_run_h and not w["gap"], job(w["next"]) if w["next"]["state"] == "building" else None)
+        for w in whole if w["state"] == "heat_up"
     }
-    assert got[6].is_uncertain and not got[6].is_late and got[7].is_late
-    good, bad = quality.split(quality.checked(quality.deliveries(events(rows)), R))
-    assert good.count() + bad.count() == len(rows) and "dq_reason" not in good.columns
-
-
-def test_level_change_and_bad_neighbour_are_no_spikes(events):
-    assert all(r.dq_reason is None for r in flagged(events, [event(i, i, power_kw=p) for i, p in enumerate([1.5, 1.5, 7.5, 7.8])]).values())
-    rows = [event(0, 0), event(1, 1, power_kw=12.0), event(2, 2, opc_status="Bad"), event(3, 3)]
-    assert flagged(events, rows)[1].dq_reason is None
-
-
-def test_increment_sees_earlier_neighbours(events):
-    rows = [event(i, i, power_kw=1.5) for i in range(5)]
-    rows[3]["power_kw"] = 12.0
-    batch = quality.deliveries(events([rows[3], rows[4], rows[2], event(9, None)]))
-    context = quality.deliveries(events([*rows[:3], event(50, -100), event(51, 2, meter_id="EM02")]))
-    good, bad = quality.checked_increment(batch, context, R)
-    assert sorted(r.ingest_id for r in good.collect()) == [2, 4]
-    assert {r.ingest_id: r.dq_reason for r in bad.collect()} == {3: "spike", 9: "missing_value"}
-    assert quality.checked_increment(batch.limit(0), context, R)[0].count() == 0
-
-
-# --- intervals -----------------------------------------------------------------------------------------------------
-
-
-def deltas(events, points, **common):
-    rows = [event(i, m, energy_kwh_total=e, **common) for i, (m, e) in enumerate(points)]
-    return {r.ingest_id: r for r in intervals.counter_deltas(valid(events, rows), R).collect()}
-
-
-def test_gap_and_exchanged_meter(events):
-    got = deltas(events, [(0, 500.0), (1, 500.1), (61, 502.0), (62, 0.05), (63, 0.1)])
-    assert got[0].delta_kwh is None and not got[0].counter_reset and got[0].interval_state is None
-    assert got[2].delta_kwh == pytest.approx(1.9) and got[2].is_gap and got[2].interval_state == "unknown"
-    assert got[3].counter_reset and got[3].delta_kwh == pytest.approx(0.05)
-    assert got[4].delta_kwh == pytest.approx(0.05)
-
-
-def test_discontinuities_have_no_energy(events):
-    got = deltas(events, [(0, 61000.0), (6 * 1440, 21000.0), (6 * 1440 + 1, 31000.0)])
-    assert all(got[i].counter_discontinuity and got[i].delta_kwh is None for i in (1, 2))
-
-
-def test_energy_is_spread_over_buckets(events):
-    rows = [event(0, 0, energy_kwh_total=10.0), event(1, 40, energy_kwh_total=14.0)]
-    d = intervals.counter_deltas(valid(events, rows), R)
-    got = [r.kwh for r in intervals.in_buckets(d, R).orderBy("bucket_epoch").collect()]
-    assert got == pytest.approx([1.5, 1.5, 1.0])
-
-
-def test_bucket_boundaries_in_microseconds(events):
-    t = datetime(2026, 3, 2, 8, 15)
-    rows = [event(0, 0, ts_source=t + timedelta(microseconds=200), energy_kwh_total=1.0), event(1, 0, ts_source=t + timedelta(microseconds=900), energy_kwh_total=1.0), event(2, 0, ts_source=t + timedelta(minutes=15), energy_kwh_total=1.2)]
-    d = intervals.counter_deltas(valid(events, rows), R)
-    parts = intervals.in_buckets(d, R).collect()
-    assert {p.bucket_epoch for p in parts} == {int(t.timestamp())}
-    assert sum(p.kwh for p in parts) == pytest.approx(0.2)
-
-
-def test_bucket_fact(events):
-    rows = [event(i, m, energy_kwh_total=1000 + 0.1 * m, power_kw=6.0) for i, m in enumerate([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 15])]
-    r = intervals.bucket_facts(valid(events, rows), R).orderBy("bucket_epoch").first()
-    assert (r.readings, r.minutes_covered, r.slot_of_day, r.time_band, r.date_key) == (10, 10, 36, "peak", 20260302)
-    assert r.completeness == pytest.approx(10 / 15) and r.kwh == pytest.approx(1.5)
+    made = {(r.machine_id, r.start_us): (r.heatup_kwh, r.cooldown_kwh, r.build_kwh) for r in intervals.jobs(runs).collect()}
+    for w in whole:
+        if w["state"] == "building":
+            known = lambda x: None if all(k is None for k in x["kwh"]) else x["energy"]
+            sides = tuple(known(x) if x["state"] == s else 0.0 for x, s in ((w["prev"], "heat_up"), (w["next"], "cool_down")))
+            assert made.pop((w["machine"], micros(w["start"]))) == pytest.approx((*sides, w["energy"]))
+    assert not made
+
+
+def test_an_increment_is_judged_with_what_came_before(frame):
+    rows = [reading(i, 4 * i) for i in range(8)]
+    rows[5]["power_kw"] = 17.0
+    late, early = [rows[5], rows[6], rows[4], reading(70, None)], [*rows[:5], reading(71, -300), reading(72, 12, meter_id="W-900")]
+    good, bad = quality.checked_increment(quality.deliveries(frame(late)), quality.deliveries(frame(early)), R)
+    assert {r.ingest_id for r in good.collect()} == {4, 6}
+    assert {r.ingest_id: r.dq_reason for r in bad.collect()} == {5: "spike", 70: "missing_value"}
+    nothing = quality.deliveries(frame([]))
+    assert quality.checked_increment(nothing, quality.deliveries(frame(early)), R)[0].count() == 0
+
+
+def test_not_a_number_has_a_verdict(frame):
+    rows = [reading(i, i) for i in range(4)]
+    rows[2]["power_kw"] = float("nan")
+    out = quality.checked(quality.deliveries(frame(rows)), R)
+    assert {r.ingest_id: r.dq_reason for r in out.collect()} == {0: None, 1: None, 2: "implausible_power", 3: None}
+    good, bad = quality.split(out)
+    assert (good.count(), bad.count()) == (3, 1) and "dq_reason" not in good.columns
+
+
+def test_a_bucket_ends_before_its_last_microsecond(frame):
+    edge = datetime(2027, 9, 23, 3, 45)
+    taken = [edge + timedelta(microseconds=x) for x in (17, 650)] + [edge + timedelta(minutes=15)]
+    rows = [reading(i, 0, ts_source=t, energy_kwh_total=e) for i, (t, e) in enumerate(zip(taken, (50.0, 50.0, 50.75), strict=True))]
+    parts = intervals.in_buckets(intervals.counter_deltas(valid(frame, rows), R), R).collect()
+    assert {p.bucket_epoch for p in parts} == {micros(edge) // 1_000_000} and sum(p.kwh for p in parts) == pytest.approx(0.75)
+
+
+def test_a_fact_has_local_time_and_completeness(frame):
+    morning = (datetime(2027, 9, 23, 5, 15) - START) / timedelta(minutes=1)  # 07:15 in summer time, a Thursday
+    rows = [reading(i, morning + m, energy_kwh_total=10 + 0.2 * m, power_kw=p) for i, (m, p) in enumerate([(0, 4.0), (0.4, 8.0), (6, 6.0), (30, 2.0)])]
+    facts = {r.slot_of_day: r for r in intervals.bucket_facts(valid(frame, rows), R).collect()}
+    assert set(facts) == {29, 30, 31} and {r.date_key for r in facts.values()} == {20270923} and facts[29].time_band == "peak"
+    assert (facts[29].readings, facts[29].minutes_covered, facts[29].max_power_kw, facts[29].avg_power_kw) == (3, 2, 8.0, 6.0)
+    assert facts[29].completeness == pytest.approx(2 / 15) and facts[30].readings == 0
+    assert (facts[29].kwh, facts[30].kwh, facts[31].kwh) == pytest.approx((3.0, 3.0, 0.0))
+
+
+@settings(max_examples=3, deadline=None)
+@SEEDS
+def test_no_energy_is_lost_or_made(frame, seed):
+    rows = valid(frame, dirty(seed))
+    total = lambda df: df.agg(F.coalesce(F.sum("kwh"), F.lit(0.0))).first()[0]
+    steps = intervals.counter_deltas(rows, R).select(F.col("delta_kwh").alias("kwh"))
+    assert total(intervals.state_days(rows, R)) == pytest.approx(total(steps))
+    assert total(intervals.bucket_facts(rows, R)) == pytest.approx(total(steps))
+
+
+@settings(max_examples=4, deadline=None)
+@SEEDS
+def test_neighbours_and_runs_of_slices_equal_the_whole(spark, seed):
+    rng = random.Random(seed)
+    rows = [(s, t, i, rng.choice(["x", "y", None]), rng.random()) for s in "ab" for i, t in enumerate(sorted(rng.choices(range(400), k=40)))]
+    df = spark.createDataFrame([*rows, (None, 3, 0, "x", 0.0), ("a", None, 0, "x", 0.0)], "s string, us bigint, n int, v string, e double")
+    got = {(r.s, r.n): (r.lo, r.hi) for r in sequences.neighbours(df, "s", ["us", "n"], {"lo": F.col("n")}, {"hi": F.col("n")}, slice_us=50).collect()}
+    assert got == {(s, n): (n - 1 if n else None, n + 1 if n < 39 else None) for s in "ab" for n in range(40)}
+    found = sequences.runs(df, "s", ["us", "n"], "v", {"size": ("sum", F.lit(1)), "from": ("min", F.col("n"))}, {"e": ("sum", F.col("e"))}, slice_us=50)
+    want = {}
+    for s in "ab":
+        mine, start = [r for r in rows if r[0] == s], 0
+        for i in range(1, 41):
+            if i == 40 or mine[i][3] != mine[start][3]:
+                steps = [r[4] for r in mine[start + 1 : i + 1]]
+                want[s, start] = (mine[start][3], i - start, sum(steps) if steps else None)
+                start = i
+    assert {(r.s, r["from"]): (r.v, r["size"], r.e) for r in found.collect()} == {k: (v, n, None if e is None else pytest.approx(e)) for k, (v, n, e) in want.items()}
 
 
 @pytest.fixture(scope="module")
-def cycle(events):
-    """idle 30, heat-up 120, build 300, cool-down 60, idle 30 minutes in steps of five."""
-
-    def make(heat=120, drop=()):
-        rows, m, e, i = [], 0, 100.0, 0
-        for state, minutes, kw in (("idle", 30, 1.0), ("heat_up", heat, 7.0), ("building", 300, 4.0), ("cool_down", 60, 1.5), ("idle", 30, 1.0)):
-            for _ in range(minutes // 5):
-                if not any(a <= m < b for a, b in drop):
-                    rows.append(event(i, m, state=state, power_kw=kw, energy_kwh_total=e, job_id="J1" if state == "building" else None))
-                i, m, e = i + 1, m + 5, e + kw * 5 / 60
-        return valid(events, rows)
-
-    return make
-
-
-@pytest.mark.parametrize("heat, long", [(120, False), (180, True)])
-def test_heat_up(cycle, heat, long):
-    r = intervals.warm_ups(intervals.state_runs(cycle(heat), R), R).collect()
-    assert len(r) == 1 and r[0].job_id == "J1" and r[0].is_long is long and not r[0].has_gap
-    assert r[0].duration_h == pytest.approx(heat / 60) and r[0].kwh == pytest.approx(7 * heat / 60)
-
+def build(frame):
+    """A print: waiting, a heat-up of given length, building, cooling; a reading every four minutes."""
 
-def test_gap_hides_the_end(cycle):
-    r = intervals.warm_ups(intervals.state_runs(cycle(180, [(100, 200)]), R), R).first()
-    assert r.has_gap and not r.is_long
+    def make(heat: int):
+        rows, minute, kwh = [], 0, 880.0
+        for state, minutes, kw in (("idle", 20, 0.8), ("heat_up", heat, 9.0), ("building", 400, 5.0), ("cool_down", 80, 2.0)):
+            for _ in range(minutes // 4):
+                rows.append(reading(len(rows), minute, state=state, power_kw=kw, energy_kwh_total=kwh, job_id="vase 12" if state == "building" else None))
+                minute, kwh = minute + 4, kwh + kw / 15
+        return valid(frame, rows)
 
-
-def test_job_energy(cycle):
-    r = intervals.jobs(intervals.state_runs(cycle(), R)).first()
-    assert (r.build_kwh, r.heatup_kwh, r.cooldown_kwh) == pytest.approx((20, 14, 1.5))
-    assert r.kwh_per_build_hour == pytest.approx(4) and r.job_kwh == pytest.approx(35.5)
-
-
-def test_energy_is_conserved(cycle):
-    rows = cycle()
-    span = rows.agg(F.max("energy_kwh_total") - F.min("energy_kwh_total")).first()[0]
-    assert intervals.state_days(rows, R).agg(F.sum("kwh")).first()[0] == pytest.approx(span)
-    assert intervals.bucket_facts(rows, R).agg(F.sum("kwh")).first()[0] == pytest.approx(span)
-    assert intervals.state_runs(rows, R).agg(F.sum("kwh")).first()[0] == pytest.approx(span)
+    return make
 
 
 def test_overlap_energy(spark):
@@ -218,58 +356,57 @@ SNAP = "snapshot_date string, machine_id string, hall_id string, meter_id string
 
 @pytest.fixture(scope="module")
 def dimension(spark):
-    rows = [(f"2026-0{m}-01", "LS01", "H1" if m < 3 else "H2", "EM01", "A", datetime(2026, m, 2)) for m in (1, 2, 3)]
+    rows = [(f"2027-0{m}-01", "PRINT-A", "east" if m < 9 else "west", "W-031", "serial 5", datetime(2027, m, 3)) for m in (6, 7, 9)]
     return dimensions.versions_of(spark.createDataFrame(rows, SNAP))
 
 
 def test_versions_and_lookup(spark, dimension):
-    assert [(r.machine_sk, r.is_current) for r in dimension.orderBy("valid_from").collect()] == [("LS01_20260101", False), ("LS01_20260301", True)]
-    facts = spark.createDataFrame([("LS01", datetime(2025, 12, 31)), ("LS01", datetime(2026, 2, 28, 23)), ("LS01", datetime(2026, 3, 1)), ("LS99", datetime(2026, 3, 1))], "machine_id string, t timestamp")
-    got = [r.machine_sk for r in dimensions.with_version(facts, dimension, F.col("t")).orderBy("machine_id", "t").collect()]
-    assert got == [None, "LS01_20260101", "LS01_20260301", None]
-    seen = dimensions.visible_to(dimensions.with_version(facts, dimension, F.col("t")), dimension, F.col("hall_id") == "H2")
-    assert seen.count() == 1
+    assert [(r.machine_sk, r.is_current) for r in dimension.orderBy("valid_from").collect()] == [("PRINT-A_20270601", False), ("PRINT-A_20270901", True)]
+    times = [datetime(2027, 5, 31, 23), datetime(2027, 8, 31, 23, 59), datetime(2027, 9, 1)]
+    facts = spark.createDataFrame([("PRINT-A", t) for t in times] + [("PRINT-Z", times[2])], "machine_id string, t timestamp")
+    keyed = dimensions.with_version(facts, dimension, F.col("t"))
+    assert [r.machine_sk for r in keyed.orderBy("machine_id", "t").collect()] == [None, "PRINT-A_20270601", "PRINT-A_20270901", None]
+    assert dimensions.visible_to(keyed, dimension, F.col("hall_id") == "WEST").count() == 1
 
 
 def test_merging_a_snapshot(spark, dimension):
-    snap = lambda *rows: spark.createDataFrame(rows, "machine_id string, hall_id string, meter_id string, meter_serial string")
-    once = dimensions.merged_versions(dimension, snap(("LS01", "H2", "EM01", None), ("LS02", "H1", None, None)), datetime(2026, 4, 1))
+    state = lambda *rows: spark.createDataFrame(rows, "machine_id string, hall_id string, meter_id string, meter_serial string")
+    once = dimensions.merged_versions(dimension, state(("PRINT-A", "WEST", "W-031", None), ("PRINT-B", None, "W-032", None)), datetime(2027, 10, 5))
     rows = {r.machine_sk: r for r in once.collect()}
-    assert len(rows) == 4 and rows["LS01_20260301"].valid_to == datetime(2026, 4, 1) and rows["LS01_20260401"].is_current
-    twice = dimensions.merged_versions(once, snap(("LS01", "H2", "EM01", None)), datetime(2026, 5, 1))
+    assert set(rows) == {"PRINT-A_20270601", "PRINT-A_20270901", "PRINT-A_20271005", "PRINT-B_20271005"}
+    assert rows["PRINT-A_20270901"].valid_to == datetime(2027, 10, 5) and rows["PRINT-A_20271005"].is_current and rows["PRINT-B_20271005"].is_current
+    twice = dimensions.merged_versions(once, state(("PRINT-A", "WEST", "W-031", None)), datetime(2027, 11, 5))
     assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, twice.collect()), key=str)
 
 
-def test_coverage_has_silent_days(spark, dimension, events):
-    rows = quality.deliveries(events([event(i, 1440 * 5 + i) for i in range(3)] + [event(9, 1440 * 7)]))
-    d = daily.daily_quality(rows, quality.checked(rows, R), R)
-    days = calendar.dates(spark, "2026-02-27", "2026-03-09")
-    grid = {r.date_key: r for r in dimensions.coverage(d, dimension, days).collect()}
-    assert len(grid) == 11 and grid[20260228].machine_sk == "LS01_20260101" and grid[20260301].machine_sk == "LS01_20260301"
-    assert grid[20260307].minutes_covered == 3 and grid[20260308].minutes_covered == 0 and grid[20260307].completeness == pytest.approx(3 / 1440)
+def test_coverage_has_silent_days(spark, dimension, frame):
+    rows = quality.deliveries(frame([reading(i, 2 * i) for i in range(4)] + [reading(9, 1440 * 3)]))
+    found = daily.daily_quality(rows, quality.checked(rows, R), R)
+    grid = {r.date_key: r for r in dimensions.coverage(found, dimension, calendar.dates(spark, "2027-08-30", "2027-09-26")).collect()}
+    assert len(grid) == 28 and grid[20270831].machine_sk == "PRINT-A_20270601" and grid[20270901].machine_sk == "PRINT-A_20270901"
+    assert [grid[k].minutes_covered for k in (20270921, 20270922, 20270923, 20270925)] == [0, 4, 0, 1]
+    assert grid[20270922].completeness == pytest.approx(4 / 1440)
 
 
-def test_daily_quality(events):
-    rows = [event(i, i) for i in range(5)] + [event(10, 2, ts_edge=at(9)), event(11, 6, opc_status="Bad"), event(12, 30)]
-    d = quality.deliveries(events(rows))
+def test_daily_quality(frame):
+    rows = [reading(i, 2 * i) for i in range(6)] + [reading(10, 4, ts_edge=later(19)), reading(11, 11, opc_status="Bad"), reading(12, 53)]
+    d = quality.deliveries(frame(rows))
     r = daily.daily_quality(d, quality.checked(d, R), R).first()
-    assert (r.events_received, r.measurements, r.duplicates_removed, r.valid_readings, r.rejected_bad_status, r.gaps) == (8, 7, 1, 6, 1, 1)
-    assert r.gap_minutes == pytest.approx(26)
+    assert (r.events_received, r.measurements, r.duplicates_removed, r.valid_readings, r.rejected_bad_status, r.gaps) == (9, 8, 1, 7, 1, 1)
+    assert r.gap_minutes == pytest.approx(43)
 
 
 # --- real time -----------------------------------------------------------------------------------------------------
 
 
-def test_status_with_grace(cycle):
-    rows = cycle(180)
-    end = T0 + timedelta(minutes=209)
-    running = realtime.run_status(rows.where(F.col("ts_source") < at(205)), at(205), 12 * 3600, "heat_up", 2.6, 180).first()
-    assert running.alert and running.is_running and running.duration_h == pytest.approx(2.83)
-    just_ended = realtime.run_status(rows.where(F.col("ts_source") <= at(211)), at(207.5), 12 * 3600, "heat_up", 2.6, 180).first()
-    assert just_ended.alert
-    later = realtime.run_status(rows.where(F.col("ts_source") <= at(240)), at(240), 12 * 3600, "heat_up", 2.6, 180).first()
-    assert not later.alert and later.state == "building"
-    assert realtime.latest(rows, end).first().age_s == 4 * 60
+def test_status_with_grace(build):
+    rows = build(200)  # heats from minute 20 to 220
+    seen = lambda minute, now, grace=600: realtime.run_status(rows.where(F.col("ts_source") <= later(minute)), later(now), 12 * 3600, "heat_up", 2.6, grace).first()
+    assert seen(160, 160).is_running and not seen(160, 160).alert
+    assert seen(212, 213).alert and seen(212, 213).duration_h == pytest.approx(3.2)
+    assert seen(224, 225).alert and not seen(224, 225).is_running
+    assert not seen(240, 241).alert and seen(240, 241).state == "building"
+    assert realtime.latest(rows, later(214)).first().age_s == 2 * 60
 
 
 def test_alert_fires_once(spark):
@@ -277,22 +414,22 @@ def test_alert_fires_once(spark):
     assert sorted(r.poll for r in realtime.transitions(polls).collect()) == [1, 4]
 
 
-def test_park_and_freshness(events):
-    rows = [event(i, i / 4, power_kw=2.0, machine_id=f"M{i % 2}", meter_id=f"E{i % 2}") for i in range(8)] + [event(20, 0, ts_edge=at(5), machine_id="M0", meter_id="E0")]
-    d = quality.deliveries(events(rows))
-    assert {(r.park_kw, r.machines) for r in realtime.park_power(quality.deduplicated(d)).collect()} == {(4.0, 2)}
-    r = realtime.freshness(d, at(2), 900).first()
-    assert (r.events, r.measurements, r.duplicates, r.age_s, r.p50_latency_s) == (9, 8, 1, 15, 1.0)
+def test_park_and_freshness(frame):
+    rows = [reading(i, i / 4, power_kw=2.5, machine_id=f"P{i % 2}", meter_id=f"W{i % 2}") for i in range(8)] + [reading(20, 0, ts_edge=later(5), machine_id="P0", meter_id="W0")]
+    d = quality.deliveries(frame(rows))
+    assert {(r.park_kw, r.machines) for r in realtime.park_power(quality.deduplicated(d)).collect()} == {(5.0, 2)}
+    r = realtime.freshness(d, later(2), 900).first()
+    assert (r.events, r.measurements, r.duplicates, r.age_s, r.p50_latency_s) == (9, 8, 1, 15, 2.0)
 
 
-def test_every_hour_of_the_readings_has_a_price(spark, events, tmp_path):
+def test_every_hour_of_the_readings_has_a_price(spark, frame, tmp_path):
     days = (0, 60, 3700)  # counted from 2016-02-20: before, in and long after the first price document
     rows = []
     for k, day in enumerate(days):
-        start = (datetime(2016, 2, 20, 8) + timedelta(days=day) - T0) / timedelta(minutes=1)
-        rows += [event(10 * k + i, start + i, energy_kwh_total=1000.0 + 0.02 * i) for i in range(5)]
-    events(rows).write.parquet(str(tmp_path / "meter_events.parquet"))
-    master = [("2016-01-01", "LS01", "H1", "EM01", "S1", datetime(2016, 1, 1))]
+        start = (datetime(2016, 2, 20, 8) + timedelta(days=day) - START) / timedelta(minutes=1)
+        rows += [reading(10 * k + i, start + i, energy_kwh_total=1000.0 + 0.02 * i) for i in range(5)]
+    frame(rows).write.parquet(str(tmp_path / "meter_events.parquet"))
+    master = [("2016-01-01", "PRINT-A", "east", "W-031", "S1", datetime(2016, 1, 1))]
     spark.createDataFrame(master, "snapshot_date string, machine_id string, hall_id string, meter_id string, meter_serial string, exported_at timestamp").write.parquet(str(tmp_path / "machine_master.parquet"))
     out = {r.hour_epoch: (r.eur_mwh, r.cost_spot) for r in telemetry.hourly_mart(spark, str(tmp_path)).collect()}
     numbers = {e: (e - 1456790400) // 3600 for e in out}
@@ -303,21 +440,21 @@ def test_every_hour_of_the_readings_has_a_price(spark, events, tmp_path):
     assert all(price == numbers[e] * 37 % 200 - 20 for e, (price, _) in out.items() if price is not None)
 
 
-def test_coverage_has_every_month_of_the_readings(spark, events, tmp_path):
-    rows = [event(1, 0, meter_id=" em01"), event(2, 1), event(3, 60 * 24 * 31), event(4, 60 * 24 * 400, meter_id="EM02"), event(5, None)]
-    events(rows).write.parquet(str(tmp_path / "meter_events.parquet"))
+def test_coverage_has_every_month_of_the_readings(spark, frame, tmp_path):
+    rows = [reading(1, 0, meter_id=" w-031"), reading(2, 1), reading(3, 60 * 24 * 31), reading(4, 60 * 24 * 400, meter_id="W-032"), reading(5, None)]
+    frame(rows).write.parquet(str(tmp_path / "meter_events.parquet"))
     out = telemetry.coverage_by_month(spark, str(tmp_path))
-    assert out.columns == ["meter", "m201603", "m201604", "m202603", "m202604", "m202704"]
+    assert out.columns == ["meter", "m201603", "m201604", "m202709", "m202710", "m202810"]
     assert {r.meter: tuple(r)[1:] for r in out.collect()} == {
-        "EM01": (None, None, round(2 / 1440, 4), round(1 / 1440, 4), None),
-        "EM02": (None, None, None, None, round(1 / 1440, 4)),
+        "W-031": (None, None, round(2 / 1440, 4), round(1 / 1440, 4), None),
+        "W-032": (None, None, None, None, round(1 / 1440, 4)),
     }
 
 
-def test_park_power_leaves_out_the_unfinished_window(events):
-    kept = quality.deduplicated(quality.deliveries(events([event(i, i / 2) for i in range(5)])))  # 0 to 2 minutes
+def test_park_power_leaves_out_the_unfinished_window(frame):
+    kept = quality.deduplicated(quality.deliveries(frame([reading(i, i / 2) for i in range(5)])))  # 0 to 2 minutes
     windows = lambda as_of: realtime.park_power(kept, 60, as_of).count()
-    assert [windows(a) for a in (None, at(3), at(2.5), at(2), at(1.9))] == [3, 3, 2, 2, 1]
+    assert [windows(a) for a in (None, later(3), later(2.5), later(2), later(1.9))] == [3, 3, 2, 2, 1]
 
 
 def test_assembly(spark):
@@ -392,10 +529,10 @@ def test_registered_measures_exist(spark):
 
 
 def test_bronze_is_typed(spark, tmp_path):
-    raw = spark.createDataFrame([("1", "LS01", "7", "2026-03-02T08:00:00Z", "2026-03-02T08:00:01Z"), ("x", "LS02", "no", "never", None)], "schema_version string, machine_id string, seq string, ts_source string, EventEnqueuedUtcTime string")
+    raw = spark.createDataFrame([("1", "PRINT-A", "7", "2027-09-22T18:00:00Z", "2027-09-22T18:00:01Z"), ("x", "PRINT-B", "no", "never", None)], "schema_version string, machine_id string, seq string, ts_source string, EventEnqueuedUtcTime string")
     rows = {r.machine_id: r for r in readers.to_bronze(raw, "eventstream").collect()}
-    assert rows["LS01"].seq == 7 and rows["LS01"].power_factor is None and rows["LS01"]._enqueued_at is not None and rows["LS01"].ts_source == T0
-    assert rows["LS02"].seq is None and rows["LS02"].ts_source is None and rows["LS02"].schema_version is None
+    assert rows["PRINT-A"].seq == 7 and rows["PRINT-A"].power_factor is None and rows["PRINT-A"]._enqueued_at is not None and rows["PRINT-A"].ts_source == START
+    assert rows["PRINT-B"].seq is None and rows["PRINT-B"].ts_source is None and rows["PRINT-B"].schema_version is None
     raw.write.parquet(str(tmp_path / "h"))
     bronze = readers.to_bronze(readers.history(spark, str(tmp_path / "h")), "history")
     assert bronze.columns == BRONZE.names and readers.loaded_until(bronze) is not None
@@ -405,19 +542,19 @@ def test_bronze_is_typed(spark, tmp_path):
         readers.history(spark, str(tmp_path / "h"), newer_than=later).count()
 
 
-def test_wire_contract(spark, events):
-    rows = [event(1, 0), event(2, 1, state="flying"), event(3, 2, job_id="J"), event(4, 3, schema_version=2), event(5, 4, power_factor=0.9, schema_version=2), event(6, None)]
-    good, bad = readers.accepted(events(rows))
+def test_wire_contract(spark, frame):
+    rows = [reading(1, 0), reading(2, 1, state="flying"), reading(3, 2, state="idle", job_id="J"), reading(4, 3, schema_version=2), reading(5, 4, power_factor=0.9, schema_version=2), reading(6, None)]
+    good, bad = readers.accepted(frame(rows))
     assert {r.ingest_id for r in good.collect()} == {1, 5} and bad.count() == 4
 
 
-def test_file_sinks(spark, events, tmp_path):
-    rows = events([event(1, 0), event(2, 1440), event(3, 31 * 1440, schema_version=2, power_factor=0.9), event(4, None)])
+def test_file_sinks(spark, frame, tmp_path):
+    rows = frame([reading(1, 0), reading(2, 1440), reading(3, 31 * 1440, schema_version=2, power_factor=0.9), reading(4, None)])
     readers.write_days(rows, str(tmp_path / "days"))
     assert len(list((tmp_path / "days").glob("day=*"))) == 4
     readers.write_months(rows, str(tmp_path / "months"))
-    march, april = (spark.read.parquet(str(tmp_path / "months" / f"meter_events_2026-0{m}.parquet")) for m in (3, 4))
-    assert "power_factor" not in march.columns and "power_factor" in april.columns
+    earlier, newer = (spark.read.parquet(str(tmp_path / "months" / f"meter_events_2027-{m}.parquet")) for m in ("09", "10"))
+    assert "power_factor" not in earlier.columns and "power_factor" in newer.columns
     assert readers.history(spark, *[str(p) for p in (tmp_path / "months").glob("*.parquet")]).count() == 3
 
 
@@ -455,11 +592,11 @@ def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
     assert a.versions("t") == [1]
 
 
-def test_silver_stream_is_restartable(spark, events, tmp_path):
-    rows = [event(i, i) for i in range(20)] + [event(30, 3, ts_edge=at(99)), event(31, 5, opc_status="Bad", meter_id="EM02"), event(32, None)]
+def test_silver_stream_is_restartable(spark, frame, tmp_path):
+    rows = [reading(i, i) for i in range(20)] + [reading(30, 3, ts_edge=later(99)), reading(31, 5, opc_status="Bad", meter_id="W-032"), reading(32, None)]
     rows[12]["power_kw"] = 12.0
     landing, tables = str(tmp_path / "landing"), TableStore(spark, str(tmp_path / "tables"))
-    every = events(rows)
+    every = frame(rows)
     run = lambda: pipeline.silver_stream(readers.event_stream(spark, landing, every.schema), lambda: spark.read.schema(every.schema).parquet(landing), tables, str(tmp_path / "cp"), R)
     every.where("ingest_id < 13").write.mode("append").parquet(landing)
     run()
@@ -472,10 +609,10 @@ def test_silver_stream_is_restartable(spark, events, tmp_path):
     assert len(tables.manifest("readings")["batches"]) == 2
 
 
-def test_stateful_streams(spark, events, tmp_path):
-    rows = [event(i, 10 * i, state="heat_up" if 3 <= i < 25 else "idle") for i in range(30)] + [event(90, 400, machine_id="LS02")]
+def test_stateful_streams(spark, frame, tmp_path):
+    rows = [reading(i, 10 * i, state="heat_up" if 3 <= i < 25 else "idle") for i in range(30)] + [reading(90, 400, machine_id="PRINT-B")]
     landing = str(tmp_path / "in")
-    every = events(rows)
+    every = frame(rows)
     for a, b in ((0, 12), (12, 20), (20, 100)):
         every.where((F.col("ingest_id") >= a) & (F.col("ingest_id") < b)).coalesce(1).write.mode("append").parquet(landing)
     stream = readers.event_stream(spark, landing, every.schema, files_per_batch=1)
@@ -483,7 +620,7 @@ def test_stateful_streams(spark, events, tmp_path):
     q = alerts.writeStream.format("memory").queryName("alerts").outputMode("append").option("checkpointLocation", str(tmp_path / "a")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = spark.table("alerts").collect()
-    assert [(r.machine_id, round(r.duration_h, 2)) for r in got] == [("LS01", 2.67)]
+    assert [(r.machine_id, round(r.duration_h, 2)) for r in got] == [("PRINT-A", 2.67)]
     windows = pipeline.power_windows(stream, "10 minutes", "1 minute")
     q = windows.writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "w")).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -494,15 +631,15 @@ def test_stateful_streams(spark, events, tmp_path):
     assert spark.table("distinct_rows").count() == 31
 
 
-def test_distinct_stream_knows_spellings_of_a_meter(spark, events, tmp_path):
-    rows = events([event(1, 0), event(2, 0, meter_id=" em01 "), event(3, 0, meter_id="EM02"), event(4, 1, meter_id="Em01")])
+def test_distinct_stream_knows_spellings_of_a_meter(spark, frame, tmp_path):
+    rows = frame([reading(1, 0), reading(2, 0, meter_id=" w-031 "), reading(3, 0, meter_id="W-032"), reading(4, 1, meter_id="w-031")])
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     distinct = pipeline.distinct_stream(readers.event_stream(spark, str(tmp_path / "in"), rows.schema))
     assert distinct.columns == rows.columns
     q = distinct.writeStream.format("memory").queryName("distinct_meters").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = [(r.meter_id.strip().upper(), r.ts_source) for r in spark.table("distinct_meters").collect()]
-    assert sorted(got) == [("EM01", at(0)), ("EM01", at(1)), ("EM02", at(0))]
+    assert sorted(got) == [("W-031", later(0)), ("W-031", later(1)), ("W-032", later(0))]
 
 
 def test_assembling_a_stream(spark, tmp_path):
@@ -521,9 +658,9 @@ def test_assembling_a_stream(spark, tmp_path):
     assert sorted((r.us, r.a, r.b) for r in spark.table("assembled").collect()) == [(1, 1.0, 1.0), (3, 3.0, 3.0)]
 
 
-def test_fan_out_and_messages(spark, events, tmp_path):
+def test_fan_out_and_messages(spark, frame, tmp_path):
     landing = tmp_path / "json"
-    readers.keyed_messages(events([event(1, 0), event(2, 1)])).select("value").write.text(str(landing))
+    readers.keyed_messages(frame([reading(1, 0), reading(2, 1)])).select("value").write.text(str(landing))
     stream = readers.message_stream(spark, str(landing))
     seen = {"a": [], "b": []}
     pipeline.fan_out(stream, {k: (lambda df, i, k=k: seen[k].append(df.count())) for k in seen}, str(tmp_path / "cp"))
@@ -554,8 +691,8 @@ def test_generated_history_end_to_end(spark):
     assert keyed.where("machine_sk is null").count() == 0 and keyed.select("machine_sk").distinct().count() == 4
 
 
-def test_arrival_numbers_and_newest(events):
-    rows = quality.deliveries(events([event(1, 5), event(2, 1), event(3, 3, ts_edge=None), event(4, 2, meter_id="E2"), event(5, 1)]))
+def test_arrival_numbers_and_newest(frame):
+    rows = quality.deliveries(frame([reading(1, 5), reading(2, 1), reading(3, 3, ts_edge=None), reading(4, 2, meter_id="E2"), reading(5, 1)]))
     assert {r.ingest_id: r.arrival_no for r in realtime.arrival_numbers(rows).collect()} == {2: 0, 5: 1, 1: 2, 4: 0}
     assert [r.ingest_id for r in realtime.newest_first_out(rows, 2).collect()] == [4, 1]
 
