@@ -107,16 +107,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 PARTITION_BYTES = 256 * 1024 * 1024
+UNKNOWN_BYTES = 10**16  # Spark's estimate for relations it knows nothing of lies far beyond
 
 
 def partitions(spark: SparkSession, df: DataFrame | None = None) -> int:
     """Number of partitions or buckets where adaptive execution cannot choose it: the session's, or more if the
-    estimated size of ``df`` asks for more. ``df`` should hold no join, whose estimate is a product."""
+    estimated size of ``df`` asks for more. ``df`` should hold no join, whose estimate is a product. A size that is not
+    known counts as nothing."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if df is None:
         return least
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(max(least, -(-size // PARTITION_BYTES)), 100_000)
+    if size > UNKNOWN_BYTES:
+        return least
+    return max(least, -(-size // PARTITION_BYTES))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

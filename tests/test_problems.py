@@ -36,7 +36,7 @@ def clash(df):
 def test_first_arrival_is_kept_and_the_rest_is_surplus(frame):
     rows = [
         reading(1, 0), reading(2, 1), reading(3, 1, ts_edge=later(1.5), power_kw=9.9), reading(4, 1, ts_edge=None), reading(5, 1, meter_id=" w-031 "),
-        reading(6, 2, meter_id=None), reading(7, 2, meter_id=None), reading(8, None), reading(9, None), reading(10, 1, ts_edge=later(1) + timedelta(seconds=1), _source="history"),
+        reading(6, 2, meter_id=None), reading(7, 2, meter_id=None), reading(8, None), reading(9, None), reading(10, 1, ts_edge=later(1) + timedelta(seconds=2), _source="history"),
     ]
     assert {r[0] for r in surplus_copies(clash(frame(rows))).collect()} == {3, 4, 5, 10}
     assert surplus_copies(frame([])).count() == 0
