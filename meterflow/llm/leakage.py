@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shipped
+from ..session import scratch_path, shipped
 from .text import words, words_at
 
 MIN_WORDS = 8
-BLOCK_CHARS = 20_000_000  # characters of test items in one automaton: the bound of what is sent to the tasks
+BLOCK_CHARS = 1_500_000  # characters of test items in one automaton: bounds the memory of the task that builds it to half a GB
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over the words of several items.
+    """Generalised suffix automaton over the words of several items, as it is built; ``arrays`` is what texts are streamed through.
 
-    ``items_at(state)`` are the items that hold the last ``least`` words read, for a state reached with a match of at
-    least ``least`` words: those of the shortest class on its suffix path that is still that long.
+    A state reached with a match of at least ``least`` words stands for the items that hold the last ``least`` words
+    read: those of the shortest class on its suffix path that is still that long.
     """
 
     def __init__(self, items: list[tuple[int, list[str]]], least: int):
@@ -72,45 +78,135 @@ class SuffixAutomaton:
             state = self.link[state]
         return state
 
-    def items_at(self, state: int) -> set[int]:
-        return self.holders.get(self.top[state], set())
+    def arrays(self) -> dict[str, np.ndarray]:
+        """The automaton as flat arrays: transitions and items in rows per state, sorted by word."""
+        n = len(self.link)
+        after = [sorted(edges.items()) for edges in self.next]
+        rows = {s: k for k, s in enumerate(sorted(self.holders))}
+        held = [sorted(self.holders[s]) for s in rows]
+        starts = lambda lists: np.cumsum([0, *map(len, lists)]).astype(np.int64)
+        return {
+            "starts": starts(after),
+            "words": np.array([w for edges in after for w, _ in edges], np.int32),
+            "targets": np.array([t for edges in after for _, t in edges], np.int32),
+            "link": np.array(self.link, np.int32),
+            "length": np.array(self.length, np.int32),
+            "row": np.array([rows.get(self.top.get(s, -1), -1) for s in range(n)], np.int32),
+            "held": starts(held),
+            "items": np.array([i for items in held for i in items], np.int64),
+            "vocabulary": np.frombuffer("\n".join(self.vocabulary).encode(), np.uint8),
+        }
+
+
+class FlatAutomaton:
+    """A suffix automaton read from flat arrays, which may be memory-mapped files that many processes share."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], least: int):
+        self.least = least
+        self.ids = {w: i for i, w in enumerate(bytes(arrays["vocabulary"]).decode().split("\n"))}
+        for name in ("starts", "words", "targets", "link", "length", "row", "held", "items"):
+            setattr(self, name, memoryview(arrays[name]))
+
+    def items_at(self, state: int) -> list[int]:
+        row = self.row[state]
+        return [] if row < 0 else self.items[self.held[row] : self.held[row + 1]].tolist()
 
     def matches(self, text: list[str]) -> Iterator[tuple[int, int, int]]:
         """(end, length, state) wherever the longest match that ends there has at least ``least`` words."""
-        after, link, longest, ids, least = self.next, self.link, self.length, self.vocabulary, self.least
+        starts, names, targets, link, longest, ids, least = self.starts, self.words, self.targets, self.link, self.length, self.ids, self.least
         state = n = 0
         for i, word in enumerate(text):
             w = ids.get(word)
             if w is None:
                 state = n = 0
                 continue
-            while state and w not in after[state]:
+            while state:
+                low, high = starts[state], starts[state + 1]
+                k = low if high == low + 1 else bisect_left(names, w, low, high)
+                if k < high and names[k] == w:
+                    break
                 state = link[state]
                 n = longest[state]
-            if w in after[state]:
-                state = after[state][w]
-                n += 1
-                if n >= least:
-                    yield i + 1, n, state
             else:
-                n = 0
+                k = starts[0] + w  # every word of the items leaves the root
+            state = targets[k]
+            n += 1
+            if n >= least:
+                yield i + 1, n, state
 
 
-def leaks_of(automaton: SuffixAutomaton, text: str | None) -> tuple[list[int], list[tuple[int, int]], int] | None:
-    """Items a text holds, its matched word spans (merged) and its number of words; None if it holds none."""
+def leaks_of(automata: list[FlatAutomaton], text: str | None) -> tuple[list[int], list[tuple[int, int]], int, int] | None:
+    """Items a text holds, its matched word spans (merged), the longest match and the number of words; None if it holds none."""
     tokens = words(text)
     items: set[int] = set()
-    spans: list[list[int]] = []
-    for end, n, state in automaton.matches(tokens):
-        items |= automaton.items_at(state)
-        start = end - n
-        while spans and spans[-1][0] >= start:
-            spans.pop()
-        if spans and start <= spans[-1][1]:
-            spans[-1][1] = end
+    found: list[tuple[int, int]] = []
+    longest = 0
+    for automaton in automata:
+        spans: list[list[int]] = []
+        for end, n, state in automaton.matches(tokens):
+            items.update(automaton.items_at(state))
+            longest, start = max(longest, n), end - n
+            while spans and spans[-1][0] >= start:
+                spans.pop()
+            if spans and start <= spans[-1][1]:
+                spans[-1][1] = end
+            else:
+                spans.append([start, end])
+        found += map(tuple, spans)
+    merged: list[list[int]] = []
+    for start, end in sorted(found):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
         else:
-            spans.append([start, end])
-    return (sorted(items), [(a, b) for a, b in spans], len(tokens)) if items else None
+            merged.append([start, end])
+    return (sorted(items), [(a, b) for a, b in merged], longest, len(tokens)) if items else None
+
+
+def _files(path: str):
+    """File system and path of a folder that may be local, mounted or in an object store."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _save(arrays: dict[str, np.ndarray], path: str) -> None:
+    """One file per array, then a note of their types; a folder without the note does not count."""
+    files, at = _files(path)
+    files.create_dir(at, recursive=True)
+    for name, values in arrays.items():
+        with files.open_output_stream(f"{at}/{name}") as out:
+            out.write(values.tobytes())
+    with files.open_output_stream(f"{at}/note.json") as out:
+        out.write(json.dumps({name: str(values.dtype) for name, values in arrays.items()}).encode())
+
+
+@lru_cache(maxsize=64)
+def _load(path: str, least: int) -> FlatAutomaton:
+    """Once per Python worker; on a mounted folder the pages are shared by all workers of a machine."""
+    from pyarrow import fs
+
+    files, at = _files(path)
+    with files.open_input_stream(f"{at}/note.json") as note:
+        kinds = json.loads(note.read())
+
+    def read(name: str, kind: str) -> np.ndarray:
+        if isinstance(files, fs.LocalFileSystem):
+            return np.memmap(f"{at}/{name}", kind, "r") if os.path.getsize(f"{at}/{name}") else np.array([], kind)
+        with files.open_input_stream(f"{at}/{name}") as stream:
+            return np.frombuffer(stream.read(), kind)
+
+    return FlatAutomaton({name: read(name, kind) for name, kind in kinds.items()}, least)
+
+
+def _build(base: str, least: int):
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["item_id", "item_text"])
+        named = [(-1 if pd.isna(i) else int(i), words(t)) for i, t in zip(rows["item_id"], rows["item_text"], strict=True)]
+        path = f"{base}/{key[0]}-{uuid.uuid4().hex[:8]}"
+        _save(SuffixAutomaton(named, least).arrays(), path)
+        return pd.DataFrame({"path": [path]})
+
+    return build
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -122,18 +218,17 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _search(items: list[tuple[int, str]], least: int, max_words: int, max_coverage: float):
+def _search(paths: list[str], least: int, max_words: int, max_coverage: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = SuffixAutomaton([(i, words(t)) for i, t in items], least)
+        automata = [_load(path, least) for path in paths]
         for batch in batches:
             out: dict[str, list] = {c: [] for c in SCHEMA.names}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hit = leaks_of(automaton, text)
+                hit = leaks_of(automata, text)
                 if hit is None:
                     continue
-                found, spans, n = hit
+                found, spans, longest, n = hit
                 covered = sum(b - a for a, b in spans)
-                longest = max(b - a for a, b in spans)
                 cut = spans if covered > max_coverage * n else [s for s in spans if s[1] - s[0] > max_words]
                 row = (doc, found, longest, covered, n, len(cut), _without(text, cut))
                 for c, v in zip(SCHEMA.names, row, strict=True):
@@ -166,27 +261,29 @@ def leaking_documents(
 ) -> DataFrame:
     """Documents that hold at least ``least`` consecutive words of a test item, with all such items.
 
-    The automaton of the normalised items is sent to the tasks and every document is streamed through it, whole, with
-    the length of the longest match at each word. Its size is checked: items beyond ``block_chars`` characters are cut
-    into blocks of items, each with its own pass over the documents. Documents are never shuffled.
+    The automaton of the normalised items is built by tasks, one for every ``block_chars`` characters of items, and
+    laid into the shared folder as flat arrays. Every document is read once and streamed, whole, through all of them with the
+    length of the longest match at each word; a worker maps the files once, so automata are neither built nor held per
+    task, and neither items nor documents reach the driver or are shuffled (but for the items, once).
 
     ``clean_text`` is the text without its matched spans of more than ``max_words`` words, or without all of
-    them if they cover more than ``max_coverage`` of its words. A document appears once per block of items.
+    them if they cover more than ``max_coverage`` of its words.
 
     Null or empty texts and items hold no passage; items of fewer than ``least`` words cannot leak. Repeated items and
-    documents are reported each. Rows with a null id are reported under a null id.
+    documents are reported each. Documents of null id are reported under a null id, items of null id under -1.
     """
-    shipped(documents.sparkSession)
-    wanted = items.select("item_id", "item_text").where(F.col("item_text").isNotNull())
+    spark = shipped(documents.sparkSession)
+    wanted = items.select(F.col("item_id").cast("bigint").alias("item_id"), "item_text").where(F.col("item_text").isNotNull())
     total = wanted.agg(F.sum(F.length("item_text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_chars))
+    block = F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)).cast("int").alias("block")
+    built = wanted.select("item_id", "item_text", block).groupBy("block").applyInPandas(_build(scratch_path(spark, "automata"), least), "path string")
+    paths = sorted(r.path for r in built.collect())  # one path per block of items
     texts = documents.select("doc_id", F.col("text").alias("text")).where(F.col("text").isNotNull())
-    parts = []
-    for block in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        search = _search([(r[0], r[1]) for r in rows], least, max_words, max_coverage)
-        parts.append(texts.mapInArrow(search, "doc_id bigint, items array<bigint>, longest_words int, covered_words int, n_words int, spans_removed int, clean_text string"))
-    return reduce(DataFrame.unionByName, parts)
+    return texts.mapInArrow(
+        _search(paths, least, max_words, max_coverage),
+        "doc_id bigint, items array<bigint>, longest_words int, covered_words int, n_words int, spans_removed int, clean_text string",
+    )
 
 
 def leaked_pairs(documents: DataFrame, items: DataFrame, least: int = MIN_WORDS) -> DataFrame:

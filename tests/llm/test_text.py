@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from meterflow.llm import queries
-from meterflow.llm.leakage import SuffixAutomaton, leaked_pairs, leaking_documents, leaks_of
+from meterflow.llm.leakage import FlatAutomaton, SuffixAutomaton, leaked_pairs, leaking_documents, leaks_of
 from meterflow.llm.packing import TOKENIZERS, VOCABULARY, encoding, fill_report, pack, packed, token_count
 from meterflow.llm.reading import cut_points, reading_levels
 from meterflow.llm.text import words, words_at
@@ -62,10 +62,14 @@ def brute(items, text, least):
 @settings(max_examples=300, deadline=None)
 def test_automaton_finds_all_items(items, text, least):
     numbered = list(enumerate(items))
-    hit = leaks_of(SuffixAutomaton(numbered, least), " ".join(text))
+    flat = FlatAutomaton(SuffixAutomaton(numbered, least).arrays(), least)
+    hit = leaks_of([flat], " ".join(text))
     assert (hit[0] if hit else []) == brute(numbered, text, least)
     if hit:
-        assert all(a < b for a, b in hit[1]) and all(x[1] < y[0] for x, y in pairwise(hit[1])) and hit[2] == len(text)
+        assert all(a < b for a, b in hit[1]) and all(x[1] < y[0] for x, y in pairwise(hit[1])) and hit[3] == len(text)
+        halves = [FlatAutomaton(SuffixAutomaton(numbered[k::2], least).arrays(), least) for k in range(2)]
+        assert leaks_of(halves, " ".join(text)) == hit
+        assert hit[2] == max(k for t in items for i in range(len(t)) for k in range(1, len(t) - i + 1) if any(text[j : j + k] == t[i : i + k] for j in range(len(text))))
         want = set()
         for k in range(len(text) - least + 1):
             if brute(numbered, text[k : k + least], least):
