@@ -10,7 +10,7 @@ from ..operators.dedup import surplus_copies
 from ..operators.drift import schema_changes, unified_readings
 from ..operators.grid import regular_grid
 from ..operators.history import attribute_history
-from ..operators.late import corrected_hours, late_state
+from ..operators.late import LateStore, corrected_hours, late_state
 from ..operators.spikes import implausible_readings
 from ..session import table
 
@@ -82,7 +82,18 @@ def p6_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrected_hours(late_state(table(spark, sf_dir, "meter_events"))).withColumnRenamed("meter", "meter_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_readings, p2_found, p2_cases, p3_found, p4_found, p4_grid, p5_found, p5_versions, p6_found, p6_hours, p7_found, p7_versions)}
+def p6_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hours of p6_hours from a store fed batch by batch: the live feed first, then the backfill, whose arrivals
+    may precede what is held, then the live feed again."""
+    events = table(spark, sf_dir, "meter_events")
+    live = F.coalesce(F.col("_source") == "stream", F.lit(False))
+    store = LateStore(spark)
+    for name, part in (("live", live), ("backfill", ~live), ("again", live)):
+        store.add(events.where(part), name)
+    return corrected_hours(store.state()).withColumnRenamed("meter", "meter_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_readings, p2_found, p2_cases, p3_found, p4_found, p4_grid, p5_found, p5_versions, p6_found, p6_hours, p6_batches, p7_found, p7_versions)}
 
 _KEPT = """
   SELECT * EXCLUDE (rn) FROM (
@@ -209,3 +220,4 @@ SQL = {
       FROM k GROUP BY meter, h
     """,
 }
+SQL["p6_batches"] = SQL["p6_hours"]

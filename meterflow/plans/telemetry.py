@@ -46,6 +46,14 @@ def _round(value, digits: int):
     return F.round((F.col(value) if isinstance(value, str) else value) + 1e-9, digits)
 
 
+# null for NaN: the values agree, but a comparison of results cannot tell one NaN from another
+_REAL = "CASE WHEN NOT isnan({0}) THEN {0} END"
+
+
+def _real(column: str):
+    return F.when(~F.isnan(column), F.col(column)).alias(column)
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -161,10 +169,10 @@ _R = _L + """,
 # --- readings ------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_D} SELECT ingest_id, meter, coalesce(us, -1) AS us, power_kw, opc_status FROM k")
+@query(f"WITH {_D} SELECT ingest_id, meter, coalesce(us, -1) AS us, {_REAL.format('power_kw')} AS power_kw, opc_status FROM k")
 def dedup_first_arrival(spark, d):
     rows = quality.deduplicated(quality.deliveries(_events(spark, d)))
-    return rows.select("ingest_id", "meter", F.coalesce(F.unix_micros("ts_source"), F.lit(-1)).alias("us"), "power_kw", "opc_status")
+    return rows.select("ingest_id", "meter", F.coalesce(F.unix_micros("ts_source"), F.lit(-1)).alias("us"), _real("power_kw"), "opc_status")
 
 
 @query(f"WITH {_C} SELECT ingest_id, dq_reason, is_uncertain, is_late FROM c")
@@ -361,16 +369,11 @@ def coverage_grid(spark, d):
     return grid.select("machine_sk", "machine_id", "meter", "date_key", "expected_minutes", "events_received", "valid_readings", "minutes_covered", _round("completeness", 6).alias("completeness"))
 
 
-@query(f"""WITH {_Q} SELECT meter, round(sum(minutes_covered) FILTER (date_key // 100 = 201603) / 1440, 4) AS m201603,
-           round(sum(minutes_covered) FILTER (date_key // 100 = 201604) / 1440, 4) AS m201604 FROM q GROUP BY 1""")
+@query(f"""WITH {_Q} SELECT meter, CAST(date_key // 100 AS BIGINT) AS month, round(sum(minutes_covered) / 1440, 4) AS days_covered FROM q GROUP BY 1, 2""")
 def coverage_by_month(spark, d):
-    """Days' worth of covered minutes per meter, months as columns: those the SQL names and every other month of the readings."""
-    keyed = quality.deliveries(_events(spark, d)).where("meter is not null and ts_source is not null")
-    found = keyed.select(F.call_function("div", calendar.day_key(calendar.local("ts_source", RULES)), F.lit(100)).alias("month")).distinct().collect()
-    months = sorted({201603, 201604} | {r.month for r in found})
-    rows = _daily(spark, d).withColumn("month", F.expr("date_key div 100"))
-    wide = rows.groupBy("meter").pivot("month", months).agg(_round(F.sum("minutes_covered") / 1440, 4))
-    return wide.withColumnsRenamed({str(m): f"m{m}" for m in months})
+    """Days' worth of covered minutes per meter and month."""
+    months = _daily(spark, d).groupBy("meter", F.expr("date_key div 100").alias("month"))
+    return months.agg(_round(F.sum("minutes_covered") / 1440, 4).alias("days_covered"))
 
 
 # --- dimensions ----------------------------------------------------------------------------------------------------
@@ -522,7 +525,7 @@ _FIELDS = ["l1_a", "l2_a", "l3_a", "voltage_v", "power_kw"]
 
 
 @query(f"""SELECT upper(trim(meter_id)) AS meter, epoch_us(ts_source) AS us, max(l1_a) AS l1_a, max(l2_a) AS l2_a, max(l3_a) AS l3_a, max(voltage_v) AS voltage_v,
-           max(power_kw) AS power_kw, CASE max(CASE opc_status WHEN 'Good' THEN 0 WHEN 'Uncertain' THEN 1 ELSE 2 END) WHEN 0 THEN 'Good' WHEN 1 THEN 'Uncertain' ELSE 'Bad' END AS status
+           {_REAL.format('max(power_kw)')} AS power_kw, CASE max(CASE opc_status WHEN 'Good' THEN 0 WHEN 'Uncertain' THEN 1 ELSE 2 END) WHEN 0 THEN 'Good' WHEN 1 THEN 'Uncertain' ELSE 'Bad' END AS status
            FROM meter_events WHERE meter_id IS NOT NULL AND ts_source IS NOT NULL AND opc_status IS NOT NULL GROUP BY 1, 2
            HAVING {' AND '.join(f'count({f}) > 0' for f in _FIELDS)}""")
 def assembled_readings(spark, d):
@@ -530,14 +533,15 @@ def assembled_readings(spark, d):
     rows = measurements(_events(spark, d), *_FIELDS, "opc_status").where("opc_status is not null")
     points = rows.select("meter", F.unix_micros("ts_source").alias("us"), F.col("opc_status").alias("status"),
                          F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in _FIELDS])).alias("p")).select("meter", "us", "status", "p.*").where("value is not null")
-    return realtime.assembled(points, _FIELDS)
+    return realtime.assembled(points, _FIELDS).withColumn("power_kw", _real("power_kw"))
 
 
 # --- market and measures -------------------------------------------------------------------------------------------
 
 _PRICES = """
   p AS (SELECT 1456790400 + h * 3600 AS hour_epoch, CASE WHEN h % 50 <> 0 THEN (h * 37) % 200 - 20 END::DOUBLE AS eur_mwh
-        FROM (SELECT unnest(generate_series(0, 1499)) AS h))"""
+        FROM (SELECT unnest(generate_series({0}, {1})) AS h))"""
+_SPAN = [f"(SELECT ({f}(epoch_us(ts_source)) // 3600000000 - 404664) // 1500 * 1500 + {n} FROM meter_events)" for f, n in (("min", 0), ("max", 1499))]
 
 
 _FIRST_HOUR, _DOC_HOURS = 1456790400 // 3600, 1500
@@ -565,12 +569,12 @@ def _prices_of(spark, d):
     return _prices(spark, number(span["first"]), number(span["last"]))
 
 
-@query(f"WITH {_PRICES} SELECT CAST(hour_epoch AS BIGINT) AS hour_epoch, 'CH' AS zone, eur_mwh FROM p")
+@query(f"WITH {_PRICES.format(0, 1499)} SELECT CAST(hour_epoch AS BIGINT) AS hour_epoch, 'CH' AS zone, eur_mwh FROM p")
 def prices_from_json(spark, d):
     return _prices(spark)
 
 
-@query(f"""WITH {_F}, {_V}, {_PRICES}, fk AS (SELECT f.*, v.machine_sk FROM f JOIN v ON v.machine_id = f.machine_id AND f.bucket_epoch * 1000000 >= from_us
+@query(f"""WITH {_F}, {_V}, {_PRICES.format(*_SPAN)}, fk AS (SELECT f.*, v.machine_sk FROM f JOIN v ON v.machine_id = f.machine_id AND f.bucket_epoch * 1000000 >= from_us
              AND (to_us IS NULL OR f.bucket_epoch * 1000000 < to_us)),
            hh AS (SELECT machine_sk, CAST(bucket_epoch // 3600 * 3600 AS BIGINT) AS hour_epoch, min(date_key) AS date_key, CAST(min(slot_of_day // 4) AS INTEGER) AS hour_local, sum(kwh) AS kwh FROM fk GROUP BY 1, 2)
            SELECT machine_sk, hour_epoch, date_key, hour_local, round(kwh, 4) AS kwh, eur_mwh, round(kwh * eur_mwh / 1000, 5) + 0.0 AS cost_spot FROM hh LEFT JOIN p USING (hour_epoch)""")
@@ -686,12 +690,12 @@ def local_time_dst(spark, d):
     return hours.select(F.col("id").alias("epoch"), calendar.day_key(here).alias("date_key"), calendar.slot_of_day(here).alias("slot_of_day"), calendar.time_band(here, RULES).alias("time_band"), calendar.compact_id(ts).alias("compact"))
 
 
-@query("""SELECT ingest_id, round(sqrt(3.0::DOUBLE) * voltage_v * (l1_a + l2_a + l3_a) / 3 * power_factor / 1000, 4) AS computed_kw, power_kw
+@query(f"""SELECT ingest_id, round(sqrt(3.0::DOUBLE) * voltage_v * (l1_a + l2_a + l3_a) / 3 * power_factor / 1000, 4) AS computed_kw, {_REAL.format('power_kw')} AS power_kw
           FROM meter_events WHERE power_factor IS NOT NULL AND voltage_v IS NOT NULL AND l1_a IS NOT NULL AND l2_a IS NOT NULL AND l3_a IS NOT NULL""")
 def electrics_check(spark, d):
     rows = _events(spark, d).where(" and ".join(f"{c} is not null" for c in ("power_factor", "voltage_v", "l1_a", "l2_a", "l3_a")))
     kw = electrics.three_phase_kw(F.col("voltage_v"), [F.col(c) for c in ("l1_a", "l2_a", "l3_a")], F.col("power_factor"))
-    return rows.select("ingest_id", _round(kw, 4).alias("computed_kw"), "power_kw")
+    return rows.select("ingest_id", _round(kw, 4).alias("computed_kw"), _real("power_kw"))
 
 
 @query(f"""WITH {_L}, g AS (SELECT machine_id, prev_us AS a, us AS b, power_kw AS kw FROM l WHERE prev_us IS NOT NULL AND us > prev_us AND NOT is_gap),

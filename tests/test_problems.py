@@ -18,7 +18,7 @@ from meterflow.operators.asof import as_known, salted_left_join, stamped_version
 from meterflow.operators.dedup import BucketStore, keep_first, surplus_copies
 from meterflow.operators.grid import regular_grid
 from meterflow.operators.history import attribute_history
-from meterflow.operators.late import corrected_hours, late_state, merge_states
+from meterflow.operators.late import LateStore, corrected_hours, late_state, merge_states
 from meterflow.operators.sequences import numbered, overlapping
 from meterflow.operators.spikes import SpikeRules, esd_limits, implausible_readings, with_esd_critical, with_t_quantile
 from meterflow.plans import problems
@@ -248,11 +248,31 @@ def test_late_records_correct_the_aggregates(frame):
     assert (r.late, r.dropped, r.n_first, r.n_final) == (2, 2, 4, 6)
     assert (r.median_first, r.median_final) == (2.0, 2.0)
     assert (r.distinct_first, r.distinct_final, r.max_first, r.max_final, r.min_final) == (3, 4, 3.0, 9.0, 1.0)
-    twice = corrected_hours(merge_states(state, state)).first()
-    assert (twice.late, twice.n_final, twice.median_final, twice.distinct_final) == (4, 12, 2.0, 4)
     assert corrected_hours(late_state(frame([]))).count() == 0
 
 
+def test_disjoint_states_add_up(frame):
+    rows = [reading(i, i + 1, power_kw=float(i % 3)) for i in range(9)]
+    parts = merge_states(*[late_state(frame(rows[k::2])) for k in range(2)])
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, late_state(frame(rows)).collect()))
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.integers(0, 10**6))
+def test_batches_in_any_order_give_the_state_of_all_rows(spark, frame, seed):
+    rng = random.Random(seed)
+    rows = [reading(i, rng.randrange(12) * 11, power_kw=rng.choice([1.0, 2.0, 4.0, None]), meter_id=rng.choice(["W-031", "w-031 ", "W-2", None])) for i in range(40)]
+    for r in rows:
+        r["ts_edge"] = rng.choice([None, later(rng.randrange(400)), later(rng.randrange(4000))])
+    store = LateStore(spark)
+    for k in range(3):
+        store.add(frame([r for r in rows if r["ingest_id"] % 3 == k]), f"b{k}")
+        store.add(frame([r for r in rows if r["ingest_id"] % 3 == k]), rng.choice([f"b{k}", f"again {k}"]))
+    store.add(frame([]), "empty")
+    hours = lambda state: sorted(map(str, corrected_hours(state).collect()))
+    assert hours(store.state()) == hours(late_state(frame(rows)))
+
+
 @settings(max_examples=8, deadline=None)
 @given(values=st.lists(st.tuples(st.sampled_from([0.0, 1.0, 2.5, 4.0, 7.25]), st.booleans()), min_size=1, max_size=25))
 def test_corrected_medians_equal_sorted_lists(frame, values):
