@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.asof import salted_left_join
 from ..session import partitions, scratch_path, shipped, written
 from .text import words
 
-BLOCK_DOCS = 4000  # documents whose edges one Python call holds
-ROUNDS = 5
+BLOCK_CHARS = 2_500_000  # characters of documents whose edges one Python call holds; a longer document is a block of its own size
+ROUNDS = 12  # at most
+SETTLED = 1e-3  # relative change of the error on graded documents below which the levels have settled
 UNLABELLED = 0.3  # weight of all documents without a label together in the level of a word
 PRIOR = 0.3  # weight of the mean level in the level of a word
 SPREAD = 0.05  # a word counts in a document as 1 / (variance of its level + SPREAD) squared
@@ -104,7 +106,7 @@ def _partial(mean: float, line: tuple[float, float] | None):
             cols += [free, free * r, free * r * r]
         sums = [block.sums(c) for c in cols]
         r, t = raw[block.labelled], block.y[block.labelled]
-        stats = [len(r), r.sum(), t.sum(), (r * r).sum(), (r * t).sum(), 0.0]
+        stats = [len(r), r.sum(), t.sum(), (r * r).sum(), (r * t).sum(), (t * t).sum()]
         n = len(block.words)
         arrays = [pa.array([block.block] * (n + 1), pa.int64()), pa.array([*block.words.tolist(), None], pa.int64())]
         return pa.Table.from_arrays([*arrays, *[pa.array([*s.tolist(), float(x)], pa.float64()) for s, x in zip(sums, stats, strict=True)]], schema=PARTIAL_SCHEMA)
@@ -156,26 +158,29 @@ def cut_points(histogram: list[tuple[float, float, int]]) -> list[float]:
     return np.maximum.accumulate(cuts).tolist()
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, block_chars: int = BLOCK_CHARS, settled: float = SETTLED) -> DataFrame:
     """``doc_id``, ``score`` (continuous level), ``level`` (1 to 5) of each document with at least one word.
 
     Documents and their words form a bipartite graph. Graded documents are clamped to the mean of their raters; a word
-    takes the weighted mean level of its documents, a document that of its words, for ``rounds`` rounds. Ungraded
+    takes the weighted mean level of its documents, a document that of its words, round after round until the error on the
+    graded documents changes by less than ``settled`` of itself, ``rounds`` at most. Ungraded
     documents together weigh no more than a fraction of one grade in a word, or the few grades would drown in a large
     corpus. Words whose documents agree count most. What a graded document is told leaves out its own grade, so a rater's error does not
     confirm itself, and the cut points between levels are fitted on such scores of all graded documents.
 
-    The graph is held as blocks of documents, written once and bucketed by block. A round exchanges only sums per
-    (block, word), so a word in half of all documents is no more than one row per block; each round is written to
-    the shared folder. To the driver come sums per round and a histogram of at most some thousand bins.
+    The graph is held as blocks of documents of about ``block_chars`` characters, written once and bucketed by block. A round
+    exchanges only sums per (block, word), so a word in half of all documents is no more than one row per block. They are
+    combined before the shuffle into totals per word and joined back, salted, to the blocks; each round is written to the
+    shared folder. To the driver come sums per round and a histogram of at most some thousand bins.
 
     Null raters' levels do not count, grades are limited to 1..5, several grades are averaged, grades of unknown
     documents are ignored. Without any usable grade every document gets level 3. Documents of null id are left out.
     """
     spark = shipped(documents.sparkSession)
-    n = partitions(spark)
+    n = partitions(spark, documents.select("doc_id", "text"))
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    blocks = max(1, -(-texts.count() // block_docs))
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(size) // block_chars))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("bigint").alias("block")
     graph = texts.mapInArrow(_edges, "doc_id bigint, names array<string>, counts array<int>").select(
         block, "doc_id", F.transform("names", lambda w: F.xxhash64(w)).alias("hashes"), "counts", F.lit(None).cast("double").alias("level")
@@ -195,15 +200,19 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS
 
     none = spark.createDataFrame([], "block bigint, " + ", ".join(f"{c} {'bigint' if c == 'word' else 'double'}" for c in TOTALS))
     line: tuple[float, float] | None = None
-    totals = none
+    totals, error = none, None
     for k in range(rounds):
         sums = written(edges.cogroup(totals.groupBy("block")).applyInArrow(_partial(mean, line), PARTIAL), "word_sums")
         if k == 0:
             line = (0.0, 1.0)
         else:
-            line = _fit(sums.where("word is null").agg(*[F.sum(c) for c in ("la", "lb", "lc", "ua", "ub")]).first())
-        by = Window.partitionBy("word")
-        totals = sums.where("word is not null").select("block", "word", *[F.sum(c).over(by).alias(c) for c in TOTALS[1:]])
+            line, now = _fit(sums.where("word is null").agg(*[F.sum(c) for c in TOTALS[1:]]).first())
+            if error is not None and abs(error - now) <= settled * max(error, 1e-9):
+                break
+            error = now
+        words_of = sums.where("word is not null")
+        each = words_of.groupBy("word").agg(*[F.sum(c).alias(c) for c in TOTALS[1:]])
+        totals = salted_left_join(words_of.select("block", "word"), each, "word", "block").select("block", *TOTALS)
     scores = written(edges.cogroup(totals.groupBy("block")).applyInArrow(_scores(mean, line), "doc_id bigint, raw double, label double, n_words bigint"), "scores")
     scores = scores.where("n_words > 0")
     graded = scores.where("label is not null").groupBy(F.round("raw", 2), "label").count().collect()
@@ -214,11 +223,12 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS
     return scores.select("doc_id", F.round(F.lit(line[0]) + F.lit(line[1]) * F.col("raw"), 4).alias("score"), level.alias("level"))
 
 
-def _fit(stats) -> tuple[float, float]:
-    """Least-squares line from raw scores to grades: undoes the shrinkage of averaging."""
-    n, r, y, rr, ry = (float(x or 0) for x in stats)
+def _fit(stats) -> tuple[tuple[float, float], float]:
+    """Least-squares line from raw scores to grades, which undoes the shrinkage of averaging, and the mean squared error it leaves."""
+    n, r, y, rr, ry, yy = (float(x or 0) for x in stats)
     spread = rr * n - r * r
-    if n < 3 or spread <= 1e-9:
-        return 0.0, 1.0
-    slope = (ry * n - r * y) / spread
-    return (y - slope * r) / n, slope
+    slope = (ry * n - r * y) / spread if n >= 3 and spread > 1e-9 else None
+    line = (0.0, 1.0) if slope is None else ((y - slope * r) / n, slope)
+    a, b = line
+    error = (yy + n * a * a + b * b * rr - 2 * a * y - 2 * b * ry + 2 * a * b * r) / n if n else 0.0
+    return line, max(error, 0.0)

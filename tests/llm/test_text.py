@@ -181,12 +181,12 @@ def corpus(n, seed=7):
     return docs, level
 
 
-@pytest.mark.parametrize("block_docs", [60, 4000])
-def test_levels_on_held_out_documents(spark, block_docs):
+@pytest.mark.parametrize("block_chars", [4_000, 2_000_000])
+def test_levels_on_held_out_documents(spark, block_chars):
     docs, level = corpus(500)
     grades = [(i, "r", min(5, max(1, level[i] + (1 if i % 20 == 0 else 0)))) for i in range(0, 500, 3)]
     got = reading_levels(
-        clash(spark.createDataFrame(docs, "doc_id bigint, text string")), clash(spark.createDataFrame(grades, "doc_id bigint, rater string, reading_level int")), block_docs=block_docs
+        clash(spark.createDataFrame(docs, "doc_id bigint, text string")), clash(spark.createDataFrame(grades, "doc_id bigint, rater string, reading_level int")), block_chars=block_chars
     ).toPandas().set_index("doc_id")
     out = [i for i in range(500) if i % 3]
     assert len(got) == 500
@@ -198,7 +198,7 @@ def test_levels_on_held_out_documents(spark, block_docs):
 def test_blocks_do_not_change_the_result(spark):
     docs, level = corpus(120)
     grades = spark.createDataFrame([(i, "r", level[i]) for i in range(0, 120, 2)], "doc_id bigint, rater string, reading_level int")
-    one, many = (reading_levels(spark.createDataFrame(docs, "doc_id bigint, text string"), grades, block_docs=b).toPandas().sort_values("doc_id").reset_index(drop=True) for b in (4000, 17))
+    one, many = (reading_levels(spark.createDataFrame(docs, "doc_id bigint, text string"), grades, block_chars=b).toPandas().sort_values("doc_id").reset_index(drop=True) for b in (2_000_000, 900))
     assert np.allclose(one.score, many.score, atol=1e-3) and (one.level == many.level).all()
 
 
