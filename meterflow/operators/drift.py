@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shipped, written
@@ -26,63 +26,64 @@ class DriftRules:
     accept: float = 0.33  # pairs scoring less are not the same quantity
 
 
-def parsed(records: DataFrame, file: str = "file_id", payload: str = "payload") -> DataFrame:
-    """Readable lines as variants. A line that is no JSON object is unreadable and left out."""
-    doc = records.select(F.col(file).alias("file"), F.try_parse_json(F.col(payload)).alias("doc"))
-    return doc.where(F.col("doc").isNotNull() & F.schema_of_variant("doc").startswith("OBJECT"))
+def parsed(records: DataFrame, *keep: str, payload: str = "payload") -> DataFrame:
+    """Readable lines as maps of variants (``doc``) with the columns ``keep``. A line that is no JSON object is unreadable and left out."""
+    doc = F.try_variant_get(F.try_parse_json(F.col(payload)), "$", "map<string,variant>")
+    return records.select(*keep, doc.alias("doc")).where(F.col("doc").isNotNull())
 
 
-def fields(spark: SparkSession, docs: DataFrame, depth: int, places: bool = False) -> DataFrame:
+def _leaves(name: Column, value: Column, place: Column | None, depth: int) -> Column:
+    """The leaves under one value as an array of (name, mark, text, place); ``mark`` is the first character of its JSON."""
+    at = [] if place is None else [place.alias("place")]
+    mark = F.substring(F.to_json(value), 1, 1).alias("mark")
+    leaf = F.array(F.struct(name.alias("name"), mark, F.try_variant_get(value, "$", "string").alias("text"), *at))
+    if depth == 0:
+        return leaf
+    members = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+    elements = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: F.struct(F.lit(None).cast("string").alias("key"), v.alias("value")))
+    inside = F.coalesce(members, elements)
+
+    def below(entry: Column, i: Column) -> Column:
+        longer = F.when(entry["key"].isNull(), name).otherwise(F.concat_ws(".", name, entry["key"]))
+        return _leaves(longer, entry["value"], None if place is None else F.concat(place, F.array(i)), depth - 1)
+
+    return F.when(F.size(inside) > 0, F.flatten(F.transform(inside, below))).otherwise(leaf)
+
+
+def fields(docs: DataFrame, depth: int, places: bool = False) -> DataFrame:
     """One row per leaf field of each document: ``name`` (dotted), ``kind`` (null for a JSON null), ``num``, ``text``.
 
-    The elements of an array stand under its name; an empty array or object is a leaf of kind "other". JVM only: each
-    level of nesting is one generator, which passes scalars on as they are. With ``places`` there is also ``place``, the
-    positions that lead to the leaf.
+    The elements of an array stand under its name; an empty array or object is a leaf of kind "other". JVM only: the
+    leaves of a document are gathered in one nested expression, and one generator makes rows of them. With ``places`` there
+    is also ``place``, the positions that lead to the leaf.
     """
-    rows = docs.withColumns({"name": F.lit(None).cast("string"), "value": F.col("doc")}).drop("doc")
-    other = [c for c in rows.columns if c not in ("name", "value")]
-    place = []
-    if places:
-        rows = rows.withColumn("place", F.array().cast("array<int>"))
-        place = [F.when(F.col("pos_").isNull(), F.col("place")).otherwise(F.concat("place", F.array("pos_"))).alias("place")]
-    for _ in range(depth):
-        rows = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("value").outer()).toDF("pos_", "key_", "value_")).select(
-            *other,
-            F.when(F.col("key_").isNull(), F.col("name")).otherwise(F.concat_ws(".", "name", "key_")).alias("name"),
-            F.coalesce("value_", "value").alias("value"),
-            *place,
-        )
-    rows = rows.where(F.col("name").isNotNull()).withColumn("shape_", F.schema_of_variant("value"))
-    shape = F.col("shape_")
+    other = [c for c in docs.columns if c != "doc"]
+    start = lambda i: F.array(i) if places else None
+    every = F.flatten(F.transform(F.map_entries("doc"), lambda e, i: _leaves(e["key"], e["value"], start(i), depth - 1)))
+    rows = docs.select(*other, F.explode(every).alias("leaf")).select(*other, "leaf.*")
+    mark, text = F.col("mark"), F.col("text")
     kind = (
-        F.when(shape.isin("BIGINT", "DOUBLE", "FLOAT") | shape.startswith("DECIMAL"), "number")
-        .when(shape == "STRING", "string")
-        .when(shape == "BOOLEAN", "boolean")
-        .when(shape != "VOID", "other")
-    )
-    scalar = kind.isin("number", "string", "boolean")
-    return rows.select(
-        *other,
-        "name",
-        kind.alias("kind"),
-        F.when(scalar, F.try_variant_get("value", "$", "double")).alias("num"),
-        F.when(kind.isNotNull(), F.try_variant_get("value", "$", "string")).alias("text"),
-        *(["place"] if places else []),
+        F.when(mark == '"', "string").when(mark.isin("t", "f"), "boolean").when(mark.isin("{", "["), "other").when(mark != "n", "number")
     )
+    num = F.when(mark.isin("t", "f"), (text == "true").cast("double")).when(~mark.isin("{", "[", "n"), text.try_cast("double"))
+    return rows.select(*other, "name", kind.alias("kind"), num.alias("num"), F.when(mark != "n", text).alias("text"), *(["place"] if places else []))
 
 
 def profiles(leaves: DataFrame, *by: str) -> DataFrame:
     """Fixed-size profile per ``by`` and field: counts per kind, quartiles, and sketches of the values and of their shapes.
 
     The value sketch keeps the smallest hash in each of ``CELLS`` cells (one-permutation minhash): a set of few values
-    is nearly kept whole, so that overlap and containment of categories can be told from ten lines.
+    is nearly kept whole, so that overlap and containment of categories can be told from ten lines. Only texts are
+    sketched; numbers are told apart by their quartiles.
     """
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "[0-9]", "9"), r"\p{Lu}", "A"), r"\p{Ll}", "a")
     num = F.when(~F.isnan("num"), F.col("num"))
-    cells = [F.min(F.when(F.pmod("hash", F.lit(CELLS)) == i, F.col("hash"))) for i in range(CELLS)]
-    mins = [F.min(F.xxhash64(F.lit(i), F.col("shape"))) for i in range(SHAPES)]
+    word = F.when((F.col("kind") == "string") & num.isNull(), F.col("text"))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "[0-9]", "9"), r"\p{Lu}", "A"), r"\p{Ll}", "a")
+    hashed = F.when(word.isNotNull(), F.xxhash64(word))
+    cells = [F.min(F.when(F.col("cell") == i, F.col("hash"))) for i in range(CELLS)]
+    mins = [F.min(F.when(F.col("shape").isNotNull(), F.xxhash64(F.lit(i), F.col("shape")))) for i in range(SHAPES)]
     return (
-        leaves.withColumns({"shape": shape, "num": num, "hash": F.xxhash64("text")})
+        leaves.withColumns({"shape": shape, "num": num, "hash": hashed}).withColumn("cell", F.pmod("hash", F.lit(CELLS)))
         .groupBy(*by, "name")
         .agg(
             *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS],
@@ -244,8 +245,16 @@ def schema_changes(records: DataFrame, files: DataFrame, rules: DriftRules = Dri
     first file of a feed has no changes. Fields without non-null values on either side are not retyped. Records of
     unknown files are ignored.
     """
-    spark = shipped(records.sparkSession)
-    rows = written(profiles(fields(spark, parsed(records), rules.depth), "file").withColumn("main", main_kind()), "profiles")
+    return _changes(_profiled(records, rules), files, rules)
+
+
+def _profiled(records: DataFrame, rules: DriftRules) -> DataFrame:
+    shipped(records.sparkSession)
+    docs = parsed(records, F.col("file_id").alias("file"))
+    return written(profiles(fields(docs, rules.depth), "file").withColumn("main", main_kind()), "profiles")
+
+
+def _changes(rows: DataFrame, files: DataFrame, rules: DriftRules) -> DataFrame:
     order = file_order(files).select("file", "previous")
     profile = F.struct(*_PROFILE, "main")
     now = rows.join(order.where("previous is not null").select("file"), "file").select("file", "name", profile.alias("now"))
@@ -291,16 +300,32 @@ TARGET = {
 
 
 def _lineages(feed: pd.DataFrame) -> pd.DataFrame:
-    """Of one feed (a row per file): for each file and field the quantity it belongs to, followed through renames."""
-    out, known = [], {}
-    for file, ordinal, names, renames in feed.sort_values("ordinal")[["file", "ordinal", "names", "renames"]].itertuples(index=False):
-        before = dict(known)
-        for new, old in (renames or {}).items():
-            known[new] = before.get(old, f"{ordinal}:{old}")
-        for name in names:
-            known.setdefault(name, f"{ordinal}:{name}")
-            out.append((file, name, known[name]))
-    return pd.DataFrame(out, columns=["file", "name", "lineage"])
+    """The quantity each piece of a feed's names belongs to: of a piece that begins with a rename, that of the old name's piece before it."""
+    out, pieces = [], {}
+    for feed_id, name, begins, old in feed.sort_values(["begins", "name"])[["feed_id", "name", "begins", "old_name"]].itertuples(index=False):
+        earlier = [lineage for at, lineage in pieces.get(old, ()) if at < begins]
+        lineage = earlier[-1] if earlier else f"{feed_id}/{begins}:{old or name}"
+        pieces.setdefault(name, []).append((begins, lineage))
+        out.append((feed_id, name, begins, lineage))
+    return pd.DataFrame(out, columns=["feed_id", "name", "begins", "lineage"])
+
+
+def quantities(rows: DataFrame, files: DataFrame, renames: DataFrame) -> DataFrame:
+    """``file``, ``name``, ``lineage`` for every field of every file in ``rows``; renames (``file, name, old_name``) are followed through a feed.
+
+    A name is cut into pieces: one begins where it first appears and one where another name is renamed to it. Only the pieces of a
+    feed, as many as its schema had names and renames, are resolved together; files take theirs by (feed, name).
+    """
+    order = file_order(files).select("file", "feed_id", "ordinal")
+    here = rows.select("file", "name").join(order, "file")
+    renamed = renames.join(order, "file").select("feed_id", "name", F.col("ordinal").alias("begins"), "old_name")
+    firsts = here.groupBy("feed_id", "name").agg(F.min("ordinal").alias("begins"))
+    plain = firsts.join(renamed, ["feed_id", "name", "begins"], "left_anti").withColumn("old_name", F.lit(None).cast("string"))
+    schema = "feed_id string, name string, begins int, lineage string"
+    pieces = renamed.unionByName(plain).groupBy("feed_id").applyInPandas(_lineages, schema)
+    along = Window.partitionBy("feed_id", "name").orderBy("ordinal", F.col("file").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    both = here.unionByName(pieces.withColumnRenamed("begins", "ordinal"), allowMissingColumns=True)
+    return both.withColumn("lineage", F.last("lineage", ignorenulls=True).over(along)).where("file is not null").select("file", "name", "lineage")
 
 
 def unified_readings(records: DataFrame, files: DataFrame, rules: DriftRules = DriftRules(), target: dict[str, str] = TARGET) -> DataFrame:
@@ -313,31 +338,18 @@ def unified_readings(records: DataFrame, files: DataFrame, rules: DriftRules = D
     as the text of a JSON array, in their order; a target column then also has the last of them in sort order of texts.
     Unreadable lines are left out, records of unknown files keep their names.
     """
-    spark = records.sparkSession
-    changes = schema_changes(records, files, rules)
-    renames = changes.where("change_kind = 'renamed'").groupBy(F.col("file_id").alias("file")).agg(
-        F.map_from_entries(F.collect_list(F.struct("field_name", "old_name"))).alias("renames")
-    )
-    docs = records.select(F.col("record_id"), F.col("file_id").alias("file"), F.try_parse_json("payload").alias("doc")).where(
-        F.col("doc").isNotNull() & F.schema_of_variant("doc").startswith("OBJECT")
-    )
-    leaves = fields(spark, docs, rules.depth)
-    names = leaves.groupBy("file", "name").agg(F.count(F.lit(1)).alias("n"))
-    per_file = names.groupBy("file").agg(F.sort_array(F.collect_list("name")).alias("names"))
-    feeds = file_order(files).join(per_file, "file").join(renames, "file", "left")
-    schema = "file bigint, name string, lineage string"
-    quantities = feeds.select("feed_id", "file", "ordinal", "names", "renames").groupBy("feed_id").applyInPandas(
-        lambda feed: _lineages(feed).assign(lineage=lambda x: str(feed["feed_id"].iloc[0]) + "/" + x["lineage"]), schema
-    )
+    rows = _profiled(records, rules)
+    renames = _changes(rows, files, rules).where("change_kind = 'renamed'").select(F.col("file_id").alias("file"), F.col("field_name").alias("name"), "old_name")
+    members = written(quantities(rows, files, renames), "quantities")
     in_target = F.when(F.col("name").isin(*target), F.col("name"))
-    named = quantities.groupBy("lineage", "name").agg(F.max("file").alias("last")).withColumn("hit", in_target)
+    named = members.groupBy("lineage", "name").agg(F.max("file").alias("last")).withColumn("hit", in_target)
     own = named.groupBy("lineage").agg(F.max("hit").alias("hit"), F.max_by("name", "last").alias("last_name"))
     votes = named.where("hit is null").select("lineage", "name").join(own.where("hit is not null"), "lineage").groupBy("name", "hit").count()
     voted = votes.groupBy("name").agg(F.max_by("hit", F.struct("count", "hit")).alias("voted"))
-    column = quantities.join(own, "lineage").join(voted, "name", "left").select("file", "name", F.coalesce("hit", "voted", "last_name").alias("column"))
+    column = members.join(own, "lineage").join(voted, "name", "left").select("file", "name", F.coalesce("hit", "voted", "last_name").alias("column"))
     maps = column.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("name", "column"))).alias("columns"))
-    placed = salted_left_join(docs, maps, "file", "record_id")
-    cells = fields(spark, placed, rules.depth, places=True).withColumn("column", F.coalesce(F.try_element_at("columns", F.col("name")), F.col("name")))
+    placed = salted_left_join(parsed(records, "record_id", F.col("file_id").alias("file")), maps, "file", "record_id")
+    cells = fields(placed, rules.depth, places=True).withColumn("column", F.coalesce(F.try_element_at("columns", F.col("name")), F.col("name")))
     quoted = F.to_json(F.array("text"))
     json = F.when(F.col("text").isNull(), "null").when(F.col("kind") != "string", F.col("text")).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
     each = cells.groupBy("record_id", "file", "column").agg(

@@ -449,7 +449,7 @@ def test_changes_of_a_feed(spark):
 
 def test_nested_fields_have_dotted_names(spark):
     records, _ = feed(spark, [[{"a": {"b": {"c": 1}}, "d": [1, 2, {"x": "y"}], "e": {}, "f": None, "g": []}]])
-    got = {(r.name, r.kind) for r in drift.fields(spark, drift.parsed(records), 4).collect()}
+    got = {(r.name, r.kind) for r in drift.fields(drift.parsed(records, "file_id"), 4).collect()}
     assert got == {("a.b.c", "number"), ("d", "number"), ("d.x", "string"), ("e", "other"), ("g", "other"), ("f", None)}
 
 
