@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import tomllib
 from dataclasses import dataclass, replace
+from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -35,3 +38,10 @@ class Rules:
     def of(cls, settings: dict) -> Rules:
         """Rules from a flat mapping; unknown keys are errors."""
         return replace(cls(), **settings)
+
+    @classmethod
+    def from_file(cls, path: str) -> Rules:
+        """Rules from a TOML or JSON file of the same keys; lists stand for tuples."""
+        text = Path(path).read_text()
+        settings = json.loads(text) if path.endswith(".json") else tomllib.loads(text)
+        return cls.of({k: tuple(v) if isinstance(v, list) else v for k, v in settings.items()})

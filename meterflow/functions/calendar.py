@@ -78,3 +78,11 @@ STATES = ("off", "Off"), ("idle", "Idle"), ("heat_up", "Heat-up"), ("building",
 
 def states(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, n, i) for i, (s, n) in enumerate(STATES, 1)], "state string, state_name string, sort_order int")
+
+
+# fixed values: the bands of the day
+BANDS = ("peak", "Peak"), ("off_peak", "Off-peak")
+
+
+def bands(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(b, n, i) for i, (b, n) in enumerate(BANDS, 1)], "time_band string, band_name string, sort_order int")

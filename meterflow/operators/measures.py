@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,11 +42,18 @@ class Model:
         self.facts, self.measures = facts, {m.name: m for m in measures}
 
     def check(self) -> list[str]:
-        """Measures whose fact or restricted columns do not exist."""
-        return [
-            m.name for m in self.measures.values()
-            if m.fact not in self.facts or not set(m.only) <= set(self.facts[m.fact].columns)
-        ]
+        """Measures that cannot be evaluated: without their fact, or over columns it does not have."""
+        out = []
+        for m in self.measures.values():
+            if m.fact not in self.facts:
+                out.append(m.name)
+                continue
+            try:
+                self.facts[m.fact].limit(0).select(*[t(F.col(c)) for c, t in m.only.items()])
+                self.facts[m.fact].limit(0).agg(m.value(lambda c: c)).schema  # noqa: B018  analysed, not run
+            except AnalysisException:
+                out.append(m.name)
+        return out
 
     def evaluate(self, names: list[str], by: list[str] = (), filters: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
         """One row per group of ``by`` with the named measures, which must belong to one fact.
@@ -128,8 +136,17 @@ HEAT_UPS = [
     total("kwh", fact="heat_ups", name="heat_up_energy_kwh"),
 ]
 
+JOBS = [
+    Measure("build_jobs", "jobs", lambda see: F.count(see(F.lit(1)))),
+    total("build_h", fact="jobs", name="build_hours"),
+    total("job_kwh", fact="jobs", name="job_energy_kwh"),
+    Measure("kwh_per_job", "jobs", lambda see: ratio(F.sum(see(F.col("job_kwh"))), F.count(see(F.lit(1))))),
+    Measure("kwh_per_build_h", "jobs", lambda see: ratio(F.sum(see(F.col("build_kwh"))), F.sum(see(F.col("build_h"))))),
+]
+
 DAY_MINUTES = 1440
 QUALITY = [
+    *[total(c, fact="quality") for c in ("events_received", "duplicates_removed", "late_events", "counter_resets", "counter_discontinuities", "gaps")],
     Measure("rejected_readings", "quality", lambda see: sum((F.sum(see(F.col(f"rejected_{r}"))) for r in REASONS), F.lit(0))),
     Measure("dq_completeness", "quality", lambda see: ratio(F.sum(see(F.col("minutes_covered"))), F.sum(see(F.lit(DAY_MINUTES))))),
 ]

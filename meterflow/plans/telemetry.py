@@ -54,14 +54,22 @@ def _real(column: str):
     return F.when(~F.isnan(column), F.col(column)).alias(column)
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = _nudged(sql)
-        return f
-
-    return register
+def registry(queries: dict, counterparts: dict[str, str]):
+    """A decorator that enters a query and its SQL under the function's name."""
+
+    def query(sql: str | None = None):
+        def register(f):
+            queries[f.__name__] = f
+            if sql is not None:
+                counterparts[f.__name__] = _nudged(sql)
+            return f
+
+        return register
+
+    return query
+
+
+query = registry(QUERIES, SQL)
 
 
 # --- shared relations ----------------------------------------------------------------------------------------------

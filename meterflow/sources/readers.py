@@ -11,12 +11,18 @@ from pyspark.sql import types as T
 from ..schema import BRONZE, EVENT, STATE_NAMES, STATUS_NAMES
 
 
-def history(spark: SparkSession, *paths: str, newer_than: datetime | None = None, recursive: bool = False) -> DataFrame:
-    """Parquet files of any schema version as one relation; with ``newer_than`` only files modified after that time."""
+EVENT_FILE = EVENT
+
+
+def history(spark: SparkSession, *paths: str, newer_than: datetime | None = None, recursive: bool = False, schema: T.StructType | None = None) -> DataFrame:
+    """Parquet files of any schema version as one relation; with ``newer_than`` only files modified after that time.
+
+    With a ``schema`` nothing is inferred, so that no file at all is no error.
+    """
     reader = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", str(recursive).lower())
     if newer_than is not None:
         reader = reader.option("modifiedAfter", newer_than.strftime("%Y-%m-%dT%H:%M:%S"))
-    return reader.parquet(*paths)
+    return (reader if schema is None else reader.schema(schema)).parquet(*paths)
 
 
 def _typed(df: DataFrame, name: str, kind: T.DataType) -> Column:
@@ -106,13 +112,17 @@ def write_days(events: DataFrame, path: str) -> None:
 
 
 def write_months(events: DataFrame, path: str) -> None:
-    """One directory of Parquet files per month; months of version 1 only have no ``power_factor`` column."""
+    """Parquet files per month (``month=yyyy-MM``), appended; months of version 1 only have no ``power_factor`` column.
+
+    A month's rows are spread by adaptive execution where they are many.
+    """
     month = F.date_format("ts_source", "yyyy-MM")
-    months = events.where("ts_source is not null").groupBy(month.alias("m")).agg(F.max("schema_version").alias("v"))
-    for row in months.collect():  # one row per month
-        part = events.where(month == row["m"])
-        part = part if (row["v"] or 1) >= 2 else part.drop("power_factor")
-        part.write.mode("overwrite").parquet(f"{path}/meter_events_{row['m']}.parquet")
+    rows = events.where("ts_source is not null").withColumn("month", month)
+    newer = rows.groupBy("month").agg((F.max("schema_version") >= 2).alias("v2"))
+    rows = rows.join(newer, "month").withColumn("v2", F.coalesce("v2", F.lit(False)))
+    for with_factor in (False, True):  # one pass per layout, however many months
+        part = rows.where("v2" if with_factor else "not v2").drop("v2", *([] if with_factor else ["power_factor"]))
+        part.repartition("month").write.partitionBy("month").mode("append").parquet(path)
 
 
 def keyed_messages(events: DataFrame) -> DataFrame:

@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from meterflow.config import Rules
 from meterflow.functions import calendar, electrics
-from meterflow.operators import daily, dimensions, intervals, market, measures, quality, realtime, sequences
+from meterflow import session
+from meterflow.operators import daily, dimensions, intervals, market, measures, quality, realtime, sequences, star
 from meterflow.pipeline import Step, run_daily
-from meterflow.plans import telemetry
+from meterflow.plans import services, telemetry
 from meterflow.schema import BRONZE
 from meterflow.sources import generator, readers
 from meterflow.store import TableStore
@@ -467,13 +468,15 @@ def test_assembly(spark):
 
 def test_measures_of_states_heat_ups_and_quality(spark):
     reasons = ", ".join(f"rejected_{r} bigint" for r in quality.REASONS)
+    counts = ("events_received", "duplicates_removed", "late_events", "counter_resets", "counter_discontinuities", "gaps")
     facts = {
         "quarters": spark.createDataFrame([("peak", 3.0), ("off_peak", 1.0)], "time_band string, kwh double"),
         "states": spark.createDataFrame([("idle", 2.0, 5.0), ("building", 6.0, 9.0), ("unknown", 8.0, 1.0)], "state string, hours double, kwh double"),
         "heat_ups": spark.createDataFrame([(True, 3.0, 4.0), (False, 1.0, 2.0)], "is_long boolean, duration_h double, kwh double"),
-        "quality": spark.createDataFrame([(720, 1, 2, 3, 4, 5), (0, 0, 0, 0, 0, 1)], "minutes_covered bigint, " + reasons),
+        "quality": spark.createDataFrame([(720, 1, 2, 3, 4, 5), (0, 0, 0, 0, 0, 1)], "minutes_covered bigint, " + reasons).withColumns({c: F.col("minutes_covered") + i for i, c in enumerate(counts)}),
+        "jobs": spark.createDataFrame([(2.0, 6.0, 10.0), (4.0, 6.0, 8.0)], "build_h double, build_kwh double, job_kwh double"),
     }
-    model = measures.Model(facts, measures.QUARTERS + measures.STATES + measures.HEAT_UPS + measures.QUALITY)
+    model = measures.Model(facts, measures.QUARTERS + measures.STATES + measures.HEAT_UPS + measures.JOBS + measures.QUALITY)
     assert model.check() == []
     value = lambda *names, **filters: tuple(model.evaluate(list(names), filters=filters).first())
     assert value("peak_share") == (0.75,)
@@ -481,6 +484,8 @@ def test_measures_of_states_heat_ups_and_quality(spark):
     assert value("state_hours", "idle_share", state=lambda c: c == "building") == (6.0, 0.25)
     assert value(*[m.name for m in measures.HEAT_UPS]) == (2, 1, 0.5, 2.0, 6.0)
     assert value("rejected_readings", "dq_completeness") == (16, 0.25)
+    assert value(*counts) == tuple(720 + 2 * i for i in range(6))
+    assert value(*[m.name for m in measures.JOBS]) == (2, 6.0, 18.0, 9.0, 2.0)
 
 
 def test_prices_and_mart(spark, tmp_path):
@@ -551,9 +556,9 @@ def test_file_sinks(spark, frame, tmp_path):
     readers.write_days(rows, str(tmp_path / "days"))
     assert len(list((tmp_path / "days").glob("day=*"))) == 4
     readers.write_months(rows, str(tmp_path / "months"))
-    earlier, newer = (spark.read.parquet(str(tmp_path / "months" / f"meter_events_2027-{m}.parquet")) for m in ("09", "10"))
+    earlier, newer = (spark.read.parquet(str(tmp_path / "months" / f"month=2027-{m}")) for m in ("09", "10"))
     assert "power_factor" not in earlier.columns and "power_factor" in newer.columns
-    assert readers.history(spark, *[str(p) for p in (tmp_path / "months").glob("*.parquet")]).count() == 3
+    assert readers.history(spark, str(tmp_path / "months"), recursive=True).count() == 3
 
 
 def test_store_versions(spark, tmp_path):
@@ -720,6 +725,58 @@ def test_no_core_module_imports_the_text_package():
             assert "llm" not in path.read_text(), path
 
 
-@pytest.mark.parametrize("name", sorted(telemetry.QUERIES))
+@pytest.mark.parametrize("name", sorted(telemetry.QUERIES | services.QUERIES))
 def test_query_runs(spark, name):
-    assert telemetry.QUERIES[name](spark, DATA).count() >= 0
+    assert (telemetry.QUERIES | services.QUERIES)[name](spark, DATA).count() >= 0
+
+
+@settings(max_examples=4, deadline=None)
+@SEEDS
+def test_matches_within_a_tolerance_are_the_nearest(spark, seed):
+    rng = random.Random(seed)
+    found = [(rng.choice("ab"), rng.randrange(-300, 300)) for _ in range(25)]
+    wanted = sorted({(rng.choice("abc"), rng.randrange(-300, 300)) for _ in range(25)})
+    frames = [spark.createDataFrame(rows, "m string, us bigint") for rows in (found, wanted)]
+    got = {(r.m, r.us): r.found_us for r in intervals.matched_within(*frames, "m", "us", 20).collect()}
+    assert got == {(m, u): min((f for k, f in found if k == m and abs(f - u) <= 20), key=lambda f, u=u: (abs(f - u), f), default=None) for m, u in wanted}
+
+
+def test_rules_from_files(tmp_path):
+    (tmp_path / "a.toml").write_text("gap_s = 90\npeak_weekdays = [1, 2]\n")
+    (tmp_path / "b.json").write_text('{"late_s": 7}')
+    assert Rules.from_file(str(tmp_path / "a.toml")) == Rules.of({"gap_s": 90, "peak_weekdays": (1, 2)})
+    assert Rules.from_file(str(tmp_path / "b.json")).late_s == 7
+
+
+def test_a_measure_over_a_missing_column_is_reported(spark):
+    df = spark.createDataFrame([("a", 1.0)], "k string, v double")
+    good, bad = measures.total("v", fact="f"), measures.total("w", fact="f")
+    assert measures.Model({"f": df}, [good, bad]).check() == ["w"]
+
+
+def test_clusters_need_a_shared_folder(spark):
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: {})})
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Elsewhere())
+    assert session.partitions(spark, spark.createDataFrame([(1,)], "a int").repartition(2)) == session.partitions(spark)
+    assert session.partitions(spark, spark.range(10**12)) > 1000
+
+
+def test_the_star_is_published_as_a_whole(spark, frame, tmp_path):
+    rows = dirty(3)
+    master = spark.createDataFrame([("2027-09-01", m, h, None, None, datetime(2027, 9, 2)) for m, h in (("PRINT-A", "east"), ("PRINT-B", "west"))], SNAP)
+    store = TableStore(spark, str(tmp_path))
+    tables = star.star_tables(frame(rows), master, R)
+    assert set(star.publish_star(tables, store)) == set(tables) and len(tables) == 10
+    read = store.frame("star")
+    assert read["fact_quarter_hours"].where("machine_sk is null").count() == 0
+    total = sum(s["kwh"] or 0.0 for s in model_steps(rows))
+    for name in ("fact_quarter_hours", "fact_state_days"):
+        assert read[name].agg(F.sum("kwh")).first()[0] == pytest.approx(total)
+    store.overwrite("fact_jobs", read["fact_jobs"].limit(0))
+    assert store.frame("star")["fact_jobs"].count() == tables["fact_jobs"].count()
+    empty = star.star_tables(frame([]), master, R)
+    assert {n: t.count() for n, t in empty.items()} == {"dim_machine": 2, "dim_date": 0, "dim_band": 2, "dim_state": 7, "dim_time_slot": 96, **{n: 0 for n in tables if n.startswith("fact")}}
