@@ -33,10 +33,10 @@ def parsed(records: DataFrame, *keep: str, payload: str = "payload") -> DataFram
 
 
 def _leaves(name: Column, value: Column, place: Column | None, depth: int) -> Column:
-    """The leaves under one value as an array of (name, mark, text, place); ``mark`` is the first character of its JSON."""
+    """The leaves under one value as an array of (name, shape, text, place); ``shape`` is the type of the variant."""
     at = [] if place is None else [place.alias("place")]
-    mark = F.substring(F.to_json(value), 1, 1).alias("mark")
-    leaf = F.array(F.struct(name.alias("name"), mark, F.try_variant_get(value, "$", "string").alias("text"), *at))
+    shape = F.schema_of_variant(value).alias("shape")
+    leaf = F.array(F.struct(name.alias("name"), shape, F.try_variant_get(value, "$", "string").alias("text"), *at))
     if depth == 0:
         return leaf
     members = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
@@ -61,12 +61,13 @@ def fields(docs: DataFrame, depth: int, places: bool = False) -> DataFrame:
     start = lambda i: F.array(i) if places else None
     every = F.flatten(F.transform(F.map_entries("doc"), lambda e, i: _leaves(e["key"], e["value"], start(i), depth - 1)))
     rows = docs.select(*other, F.explode(every).alias("leaf")).select(*other, "leaf.*")
-    mark, text = F.col("mark"), F.col("text")
+    shape, text = F.col("shape"), F.col("text")
+    compound = shape.startswith("OBJECT") | shape.startswith("ARRAY")
     kind = (
-        F.when(mark == '"', "string").when(mark.isin("t", "f"), "boolean").when(mark.isin("{", "["), "other").when(mark != "n", "number")
+        F.when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean").when(compound, "other").when(shape != "VOID", "number")
     )
-    num = F.when(mark.isin("t", "f"), (text == "true").cast("double")).when(~mark.isin("{", "[", "n"), text.try_cast("double"))
-    return rows.select(*other, "name", kind.alias("kind"), num.alias("num"), F.when(mark != "n", text).alias("text"), *(["place"] if places else []))
+    num = F.when(shape == "BOOLEAN", (text == "true").cast("double")).when(~compound & (shape != "VOID"), text.try_cast("double"))
+    return rows.select(*other, "name", kind.alias("kind"), num.alias("num"), F.when(shape != "VOID", text).alias("text"), *(["place"] if places else []))
 
 
 def profiles(leaves: DataFrame, *by: str) -> DataFrame:
