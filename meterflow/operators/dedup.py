@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import fresh, partitions, read_text, scratch_path, write_text
+from ..session import fresh, partitions, read_text, scratch_names, scratch_path, write_text
 
 
 def meter_key(column: Column | str = "meter_id") -> Column:
@@ -44,6 +44,7 @@ class BucketStore:
     def __init__(self, spark: SparkSession, keys: list[str], order: list[str], buckets: int | None = None, name: str = "store", base: str | None = None):
         self.spark, self.keys, self.order = spark, keys, order
         self.base, self.name = base or scratch_path(spark, name), f"{name}_{uuid.uuid4().hex[:12]}"
+        self._named: set[str] = set()
         self.buckets, self.generation, self.batches = buckets or partitions(spark), 0, set()
         note = read_text(spark, f"{self.base}/_note.json") if base else None
         if note is not None:
@@ -53,7 +54,11 @@ class BucketStore:
 
     @property
     def table(self) -> str:
-        return f"{self.name}_{self.generation}"
+        name = f"{self.name}_{self.generation}"
+        if name not in self._named:
+            self._named.add(name)
+            scratch_names(self.spark).append(name)  # the files of a given base outlive the name
+        return name
 
     @property
     def _path(self) -> str:

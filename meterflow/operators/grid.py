@@ -9,6 +9,7 @@ from ..functions.calendar import period
 from .dedup import measurements
 
 SLOT_S = 900
+DAY_SLOTS = 96
 
 
 def regular_grid(events: DataFrame, slot_s: int = SLOT_S, max_gap_slots: int = 8) -> DataFrame:
@@ -34,7 +35,11 @@ def regular_grid(events: DataFrame, slot_s: int = SLOT_S, max_gap_slots: int = 8
         F.count(F.lit(1)).alias("readings"), F.max(F.struct("us", "energy_kwh_total")).alias("last")
     ).select("meter", "slot", "readings", F.col("last.energy_kwh_total").alias("observed"))
     spans = usable.groupBy("meter").agg(F.min(us).alias("a"), F.max(us).alias("b"))
-    grid = spans.select("meter", F.explode(F.sequence(period("a", width), period("b", width))).alias("slot"))
+    # days first, then the slots of each: a wrong clock may stretch a span over a century, but no row over millions of slots
+    a, b, day = period("a", width), period("b", width), DAY_SLOTS
+    days = spans.select("meter", a.alias("a"), b.alias("b"), F.explode(F.sequence(period(a, day), period(b, day))).alias("d"))
+    low, high = F.greatest("a", F.col("d") * day), F.least("b", F.col("d") * day + day - 1)
+    grid = days.select("meter", F.explode(F.sequence(low, high)).alias("slot"))
     joined = grid.join(slots, ["meter", "slot"], "left")
     by = Window.partitionBy("meter").orderBy("slot").rowsBetween(-max_gap_slots, 0)
     value = F.last("observed", ignorenulls=True).over(by)

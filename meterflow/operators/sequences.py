@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.calendar import period
-from ..session import partitions, scratch_path
+from ..session import partitions, scratch_path, scratch_table
 
 SLICE_US = 6 * 3600 * 1_000_000
 
@@ -24,7 +22,7 @@ def numbered(df: DataFrame, source: str, micros: str, *ties: str, slice_us: int
     Columns named time_slice, in_slice, offset, pos or rows are taken; callers project theirs first.
     """
     spark = df.sparkSession
-    n, name = partitions(spark, df), f"slices_{uuid.uuid4().hex[:12]}"
+    n, name = partitions(spark, df), scratch_table(spark, "slices")
     window = Window.partitionBy(source, "time_slice").orderBy(micros, *ties)
     (
         df.where(F.col(source).isNotNull() & F.col(micros).isNotNull())

@@ -44,8 +44,47 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one intermediate table."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path for one intermediate table; ``release`` removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch(spark)[0].append(path)
+    return path
+
+
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A fresh name for an intermediate table of the session's catalog; ``release`` drops it."""
+    table_name = f"{name}_{uuid.uuid4().hex[:12]}"
+    _scratch(spark)[1].append(table_name)
+    return table_name
+
+
+def _scratch(spark: SparkSession) -> tuple[list[str], list[str]]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_meterflow_scratch"):
+        sc._meterflow_scratch = ([], [])
+    return sc._meterflow_scratch
+
+
+def scratch_names(spark: SparkSession) -> list[str]:
+    """Names of catalog tables that ``release`` drops."""
+    return _scratch(spark)[1]
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the intermediate tables and files made so far in this application; returns how many.
+
+    To be called between jobs, when no relation that was made before is read any more: relations are lazy, so only the caller
+    knows when their readers are done.
+    """
+    paths, tables = _scratch(spark)
+    count = len(paths) + len(tables)
+    for name in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for path in paths:
+        files, target = _at(spark, path)
+        files.delete(target, True)
+    paths.clear()
+    tables.clear()
+    return count
 
 
 def _at(spark: SparkSession, path: str):

@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+KNOWN_BATCHES = 1000  # batch ids a manifest remembers: a batch is repeated right after it failed, not a thousand batches later
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -62,7 +65,7 @@ class TableStore:
 
     def _commit(self, table: str, parts: list[str], batches: list[str]) -> int:
         version = (self.versions(table) or [0])[-1] + 1
-        body = json.dumps({"version": version, "parts": parts, "batches": batches, "at": time.time()})
+        body = json.dumps({"version": version, "parts": parts, "batches": batches[-KNOWN_BATCHES:], "at": time.time()})
         # written aside, then renamed: a reader sees the whole manifest or none, and of two writers one fails
         aside = self._path(table, "_versions", f".{uuid.uuid4().hex}")
         self._write_text(aside, body, False)
@@ -92,11 +95,20 @@ class TableStore:
         part = self._part(table, df, None if batch_id is None else f"batch-{batch_id}")
         return self._commit(table, [*old["parts"], part], [*old["batches"], *([batch_id] if batch_id is not None else [])])
 
-    def merge_insert_only(self, table: str, updates: DataFrame, keys: list[str], batch_id: str | None = None) -> int:
-        """Add the rows whose key is new. Keys compare null-safely; of equal keys in ``updates`` the caller keeps one."""
+    def merge_insert_only(self, table: str, updates: DataFrame, keys: list[str], batch_id: str | None = None, within: str | None = None) -> int:
+        """Add the rows whose key is new. Keys compare null-safely; of equal keys in ``updates`` the caller keeps one.
+
+        With ``within``, one of the keys, only the rows between the smallest and the largest of its values in ``updates``
+        are read from the table (the filter reaches the scan), as for batches of a narrow span of time.
+        """
         if not self.exists(table):
             return self.append(table, updates, batch_id)
-        known = self.read(table).select(*[F.col(k).alias(f"k{i}_") for i, k in enumerate(keys)])
+        held = self.read(table)
+        if within is not None:
+            span = updates.agg(F.min(within).alias("a"), F.max(within).alias("b")).first()
+            inside = F.col(within).isNull() if span["a"] is None else F.col(within).isNull() | F.col(within).between(F.lit(span["a"]), F.lit(span["b"]))
+            held = held.where(inside)
+        known = held.select(*[F.col(k).alias(f"k{i}_") for i, k in enumerate(keys)])
         same: Column = F.lit(True)
         for i, k in enumerate(keys):
             same = same & updates[k].eqNullSafe(known[f"k{i}_"])

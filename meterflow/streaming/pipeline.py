@@ -39,7 +39,7 @@ def silver_stream(stream: DataFrame, context: Callable[[], DataFrame], tables: T
     def each(batch: DataFrame, i: int) -> None:
         valid, quarantine = checked_increment(deliveries(batch), deliveries(context()), rules)
         for name, rows in (("readings", valid), ("quarantine", quarantine)):
-            tables.merge_insert_only(name, rows, ["meter", "ts_source"], str(i))
+            tables.merge_insert_only(name, rows, ["meter", "ts_source"], str(i), within="ts_source")
 
     return run_once(stream, checkpoint, each)
 

@@ -585,6 +585,14 @@ def test_store_versions(spark, tmp_path):
     assert not store.exists("t")
 
 
+def test_merge_reads_only_the_span_of_the_batch(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    rows = lambda *x: spark.createDataFrame(x, "k string, t int")
+    for i, part in enumerate([rows(("a", 1), ("a", 9), ("a", None)), rows(("a", 5), ("a", 9), ("b", 9), ("a", None)), rows(("c", None)), rows()]):
+        store.merge_insert_only("t", part, ["k", "t"], str(i), within="t")
+    assert sorted(map(str, store.read("t").collect())) == sorted(map(str, rows(("a", 1), ("a", 9), ("a", None), ("a", 5), ("b", 9), ("c", None)).collect()))
+
+
 def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
     a, b = TableStore(spark, str(tmp_path)), TableStore(spark, str(tmp_path))
     df = spark.range(1)
@@ -754,6 +762,17 @@ def test_a_measure_over_a_missing_column_is_reported(spark):
     assert measures.Model({"f": df}, [good, bad]).check() == ["w"]
 
 
+def test_scratch_is_released(spark, frame, tmp_path):
+    from meterflow.operators import spikes
+
+    out = spikes.implausible_readings(frame([reading(i, i) for i in range(20)]))
+    assert out.count() == 0
+    names, folder = list(session.scratch_names(spark)), Path(session.shared_dir(spark))
+    assert names and session.release(spark) >= len(names)
+    assert not any(spark.catalog.tableExists(n) for n in names) and not list(folder.glob("slices-*"))
+    assert session.release(spark) == 0
+
+
 def test_clusters_need_a_shared_folder(spark):
     class Elsewhere:
         conf = type("C", (), {"get": staticmethod(lambda key, default=None: None)})
