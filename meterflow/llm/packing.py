@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import ast
 import base64
 import heapq
-import importlib.util
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -21,6 +21,7 @@ from ..session import shipped, written
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SHARD_TOKENS = 4_000_000  # tokens that one task packs
+SHARD_DOCS = 200_000  # documents that one task packs, if they are that short
 MAX_LANGUAGES = 1000  # budgets become part of the plan; there are fewer language codes than this
 
 
@@ -29,12 +30,11 @@ def encoding(folder: str, vocabulary: str):
     """A public byte-level BPE tokenizer, read from ``folder``."""
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("tokenizer_files", Path(folder, "__init__.py"))
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
+    tree = ast.parse(Path(folder, "__init__.py").read_text())  # read as data, not run
+    pattern = next(ast.literal_eval(n.value) for n in tree.body if isinstance(n, ast.Assign) and n.targets[0].id == "PATTERN")
     lines = Path(folder, vocabulary).read_bytes().splitlines()
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(vocabulary, pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(vocabulary, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 #: Runs of white space beyond this length are encoded apart: the tokenizer's pattern matches them by backtracking.
@@ -164,7 +164,7 @@ def packed(
     Sizes are tokens of the whole text under a public tokenizer. The budget is that of the language (letter case,
     blanks and a region part of the code do not count), else the one with null language. A text longer than the
     capacity is split into full pieces and a rest; no other text is split. Documents of a budget are spread by hash
-    over shards of about ``shard_tokens`` tokens, so a language with most of the documents is packed by many tasks, at
+    over shards of about ``shard_tokens`` tokens (or ``SHARD_DOCS`` documents, if these are short or empty), so a language with most of the documents is packed by many tasks, at
     the price of one unfilled container or so per shard.
 
     Null and empty texts have size 0 and take a place without room, so every document appears. Documents without any
@@ -188,10 +188,11 @@ def packed(
     rows = documents.select("doc_id", "text", budget.alias("b")).where("b is not null").select("doc_id", "text", "b.*")
     sized = rows.mapInArrow(_count(folder, vocabulary), "doc_id bigint, budget_id bigint, capacity_tokens int, tokens bigint")
     sized = written(sized, "token_sizes")
-    totals = {r[0]: r[1] for r in sized.groupBy("budget_id").agg(F.sum("tokens")).collect()}  # one row per budget
+    totals = sized.groupBy("budget_id").agg(F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("n")).collect()  # one row per budget
     shards = F.lit(1)
-    for b, total in totals.items():
-        shards = F.when(F.col("budget_id") == b, F.lit(max(1, round((total or 0) / shard_tokens)))).otherwise(shards)
+    for r in totals:
+        count = max(1, round((r["total"] or 0) / shard_tokens), r["n"] // SHARD_DOCS)
+        shards = F.when(F.col("budget_id") == r["budget_id"], F.lit(count)).otherwise(shards)
     starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.expr("(tokens - 1) div capacity_tokens"), F.lit(0)))
     pieces = sized.withColumn("shards", shards).select(
         "doc_id", "budget_id", "capacity_tokens", "tokens", F.posexplode(starts).alias("piece", "k"), "shards"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.asof import salted_left_join
-from ..session import partitions, scratch_path, shipped, written
+from ..session import partitions, scratch_path, scratch_table, shipped, written
 from .text import words
 
 BLOCK_CHARS = 2_500_000  # characters of documents whose edges one Python call holds; a longer document is a block of its own size
@@ -194,7 +194,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS
     mean = grades.agg(F.avg("level")).first()[0]
     mean = 3.0 if mean is None else float(mean)
     both = graph.unionByName(grades.select(block, "doc_id", "level"), allowMissingColumns=True)
-    name = f"graph_{scratch_path(spark, 'g').rsplit('-', 1)[-1]}"
+    name = scratch_table(spark, "graph")
     both.repartition(n, "block").write.bucketBy(n, "block").option("path", scratch_path(spark, "graph")).saveAsTable(name)
     edges = spark.table(name).groupBy("block")
 
