@@ -31,7 +31,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return implausible_readings(table(spark, sf_dir, "meter_events"))
+    found = implausible_readings(table(spark, sf_dir, "meter_events"))
+    return found.select("ingest_id", "meter", F.unix_micros("ts_source").alias("us"), "power_case", "counter_case")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,8 +174,55 @@ _CASES = f"""
   UNION SELECT ingest_id FROM b WHERE p < 0 OR isnan(p) OR p >= 1000 OR e < 0 OR isnan(e) OR e = 'inf'::DOUBLE
 """
 
+def _middles(column: str) -> tuple[str, str]:
+    """SQL of the ten neighbours of a column, and of the higher of the lower medians of both sides."""
+    sides = ", ".join(f"{f}({column}, {k}) OVER w AS {column}_{f}{k}" for f in ("lag", "lead") for k in range(1, 6))
+    lists = [_MID.format(f"{column}_{f}") for f in ("lag", "lead")]
+    return sides, f"greatest({', '.join(_LOW.format(x) for x in lists)})"
+
+
+_PLAIN_SIDES, _PLAIN_TREND = _middles("plain")
+_ADJ_SIDES, _ADJ_TREND = _middles("adj")
+_Z = "(u - (2.515517 + 0.802853 * u + 0.010328 * u * u) / (1 + 1.432788 * u + 0.189269 * u * u + 0.001308 * u * u * u))"
+_T = "(z + (z ** 3 + z) / (4 * v) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * v * v))"
+_SIGMA = "greatest(sqrt(greatest(sq - tot * tot / le, 0) / greatest(le - 1, 1)), 0.16)"
+# the method itself: decomposition, sequential test per source, and the separate checks
+_METHOD = _CASES[: _CASES.index("SELECT ingest_id FROM spike UNION")].replace("departure AS", "single AS") + f""",
+  lv AS (SELECT meter, state, quantile_disc(fp, 0.5) AS lvl, count(fp) AS n FROM b GROUP BY 1, 2),
+  ph AS (SELECT meter, count(*) FILTER (state IS NOT NULL AND n >= 5) AS phases FROM lv WHERE lvl IS NOT NULL GROUP BY 1),
+  g0 AS (SELECT b.*, phases, CASE WHEN fp IS NOT NULL THEN ln(greatest(fp, 0.05)) END AS plain, CASE WHEN fp IS NOT NULL AND lvl IS NOT NULL THEN ln(greatest(fp, 0.05)) - ln(greatest(lvl, 0.05)) END AS adj
+         FROM b LEFT JOIN lv ON lv.meter = b.meter AND lv.state = b.state AND lv.n >= 5 LEFT JOIN ph ON ph.meter = b.meter),
+  g1 AS (SELECT *, {_PLAIN_SIDES}, {_ADJ_SIDES} FROM g0 WINDOW w AS (PARTITION BY meter ORDER BY us)),
+  g2 AS (SELECT ingest_id, meter, phases, adj - {_ADJ_TREND} AS explained, plain - {_PLAIN_TREND} AS raw FROM g1),
+  g AS (SELECT *, coalesce(explained, raw) AS residual, coalesce(explained, CASE WHEN phases = 0 THEN raw END) AS sample FROM g2),
+  su AS (SELECT meter, count(sample) AS n, coalesce(sum(sample), 0) AS t1, coalesce(sum(sample * sample), 0) AS t2 FROM g WHERE phases IS NOT NULL GROUP BY 1),
+  bi AS (SELECT meter, floor(abs(sample) / 0.001) AS bin, count(*) AS c, sum(sample) AS s1, sum(sample * sample) AS s2, avg(sample) FILTER (sample > 0) AS value
+         FROM g WHERE abs(sample) >= 0.3 GROUP BY 1, 2),
+  ra AS (SELECT *, sum(c) OVER w AS i, sum(s1) OVER w AS r1, sum(s2) OVER w AS r2 FROM bi WINDOW w AS (PARTITION BY meter ORDER BY bin DESC ROWS UNBOUNDED PRECEDING)),
+  rb AS (SELECT ra.*, n, n - i + 1 AS le, t1 - r1 + value AS tot, t2 - r2 + value * value AS sq, greatest(n - i, 3) AS lf FROM ra JOIN su USING (meter)),
+  rc AS (SELECT *, lf - 1 AS v, sqrt(-2 * ln(0.01 / (lf + 1))) AS u FROM rb), rd AS (SELECT *, {_Z} AS z FROM rc), re AS (SELECT *, {_T} AS t FROM rd),
+  la AS (SELECT meter, min((bin, i, r1, r2)) FILTER (i < n AND i <= greatest(3, ceil(n * 0.1))
+           AND value - tot / le > lf * t / sqrt((lf - 1 + t * t) * (lf + 1)) * {_SIGMA}) AS last FROM re GROUP BY 1),
+  ea AS (SELECT su.meter, last[1] * 0.001 AS lim, n - coalesce(last[2], 0) AS le, t1 - coalesce(last[3], 0) AS tot, t2 - coalesce(last[4], 0) AS sq FROM su LEFT JOIN la USING (meter)),
+  eb AS (SELECT *, greatest(le - 1, 1) AS v, sqrt(-2 * ln(0.01 / (le + 1))) AS u FROM ea), ec AS (SELECT *, {_Z} AS z FROM eb),
+  ed AS (SELECT meter, lim, coalesce(tot / nullif(le, 0), 0) + {_T} * CASE WHEN le = 0 THEN 0.16 ELSE {_SIGMA} END * sqrt(1 + 1 / greatest(le, 1)) AS outside FROM ec),
+  f0 AS (SELECT b.*, peak, {', '.join(f"{f}({c}, {k}) OVER w AS {c}_{f}{k}" for c in ('fe', 'us') for f in ('lag', 'lead') for k in (1, 2))}
+         FROM b LEFT JOIN pk USING (meter) WHERE fe IS NOT NULL WINDOW w AS (PARTITION BY meter ORDER BY us)),
+  away AS (SELECT ingest_id FROM f0 WHERE NOT {_FIT.format('fe_lag1', 'fe', 'us_lag1', 'us')} AND NOT coalesce({_FIT.format('fe_lag2', 'fe', 'us_lag2', 'us')}, false)
+           AND NOT {_FIT.format('fe', 'fe_lead1', 'us', 'us_lead1')} AND NOT coalesce({_FIT.format('fe', 'fe_lead2', 'us', 'us_lead2')}, false)),
+  al AS (SELECT ingest_id, b.meter, us,
+           CASE WHEN p < 0 OR isnan(p) OR p >= 1000 THEN 'range'
+                WHEN CASE WHEN sample IS NOT NULL THEN sample >= lim ELSE residual > outside END THEN 'spike'
+                WHEN ingest_id IN (FROM sp) THEN 'stuck' END AS power_case,
+           CASE WHEN e < 0 OR isnan(e) OR e = 'inf'::DOUBLE THEN 'range' WHEN ingest_id IN (FROM single) OR ingest_id IN (FROM away) THEN 'departure'
+                WHEN ingest_id IN (FROM se) THEN 'stuck' END AS counter_case
+         FROM b LEFT JOIN g USING (ingest_id) LEFT JOIN ed ON ed.meter = b.meter)
+  SELECT * FROM al WHERE power_case IS NOT NULL OR counter_case IS NOT NULL
+"""
+
 SQL = {
     "p2_found": _CASES,
+    "p2_cases": _METHOD,
     "p5_found": f"SELECT machine_id, valid_from, valid_to FROM ({_HISTORY})",
     "p5_versions": _HISTORY,
     "p7_found": f"SELECT cost_id FROM ({_RIGHT}) WHERE NOT is_right",
