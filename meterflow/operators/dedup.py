@@ -140,7 +140,7 @@ def surplus_copies(events: DataFrame, batch_column: str = "_source") -> DataFram
     """
     spark = events.sparkSession
     rows = measurements(events, batch_column)
-    store = BucketStore(spark, ["meter", "ts_source"], list(ARRIVAL), name="deliveries")
+    store = BucketStore(spark, ["meter", "ts_source"], list(ARRIVAL), partitions(spark, rows), name="deliveries")
     live = F.coalesce(F.col(batch_column) == "stream", F.lit(False))
     store.upsert(rows.where(~live).drop(batch_column), "history")
     store.upsert(rows.where(live).drop(batch_column), "stream")

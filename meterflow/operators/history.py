@@ -82,7 +82,7 @@ def attribute_history(snapshots: DataFrame, entity: str, day: str, exported: str
     latest = keep_first(rows, ["entity", "day"], [F.col(c).desc_nulls_last() for c in ("exported", *cols)])
     merged = (
         latest.select("entity", F.date_format("day", "yyyy-MM-dd").alias("valid_from"), *cols, F.to_json(F.struct(*cols)).alias("payload"))
-        .repartition(partitions(snapshots.sparkSession), "entity")
+        .repartition(partitions(snapshots.sparkSession, rows), "entity")
         .sortWithinPartitions("entity", "valid_from")
     )
     schema = "entity string, valid_from string, " + "".join(f"{c} string, " for c in cols) + "valid_to string"

@@ -19,17 +19,18 @@ def exponential(mean: float, draw: Column) -> Column:
 
 def history(
     spark: SparkSession, meters: int, start: datetime, hours: int, interval_s: int = 60, seed: int = 7,
-    duplicate_share: float = 0.002, late_share: float = 0.0007, version_2_from: datetime | None = None,
+    duplicate_share: float = 0.002, late_share: float = 0.0007, outage_share: float = 0.0, version_2_from: datetime | None = None,
 ) -> DataFrame:
     """Events of ``meters`` machines that cycle through their states, with repeated and late deliveries.
 
     Rows are made from a range, one per meter and tick; the counter is the integral of the power profile in closed
-    form, so no row depends on another. The faults injected can be told from ``is_repeat`` and ``is_late``.
+    form, so no row depends on another. ``outage_share`` of a meter's hours have no readings at all. The other faults injected can be told from ``is_repeat`` and ``is_late``.
     """
     ticks = hours * 3600 // interval_s
     base = spark.range(meters * ticks).select(
         F.expr(f"id div {ticks}").alias("m"), (F.col("id") % ticks).alias("k")
     )
+    base = base.where(uniform(seed, "outage", F.col("m"), F.expr(f"k * {interval_s} div 3600")) >= outage_share)
     phase_s, cycle_s = F.floor(uniform(seed, "phase", F.col("m")) * 86400), 12 * 3600
     # fixed profile of a cycle: state, end in seconds, power in kW, energy in kWh up to its begin
     profile = [("idle", 3600, 1.5), ("heat_up", 10800, 7.0), ("building", 32400, 4.0), ("cool_down", 36000, 1.2), ("unpacking", 37800, 0.4), ("off", 43200, 0.0)]

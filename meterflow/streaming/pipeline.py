@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,38 +75,45 @@ def power_windows(events: DataFrame, width: str = "1 minute", delay: str = "10 m
 
 
 ALERT = "machine_id string, start_us bigint, fired_us bigint, duration_h double"
+FORGET_S = 30 * 86400  # a key that is silent for so long loses its state
 
 
-def long_run_alerts(events: DataFrame, state: str, threshold_h: float) -> DataFrame:
+def long_run_alerts(events: DataFrame, state: str, threshold_h: float, forget_s: float = FORGET_S) -> DataFrame:
     """One row when a machine's run of ``state`` first exceeds the threshold; again only in its next run.
 
-    Keeps per machine the start of the run, the last time seen and whether it fired. Late rows (before the last time
-    seen) are ignored.
+    Keeps per machine the start of the run, the last time seen and whether it fired, and drops them when the machine
+    has been silent for ``forget_s``. Late rows (before the last time seen) are ignored, of equal times the first counts.
     """
 
     def update(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         start, last, fired = held.get if held.exists else (-1, -1, False)
-        out = []
-        rows = pd.concat(list(batches)).sort_values("us", kind="stable")
-        for us, now in zip(rows["us"].tolist(), rows["state"].tolist(), strict=True):
-            if us <= last:
-                continue
-            last = us
-            if now != state:
-                start, fired = -1, False
-                continue
-            start = us if start < 0 else start
-            hours = (us - start) / 3.6e9
-            if hours > threshold_h and not fired:
-                fired = True
-                out.append((key[0], start, us, hours))
+        rows = pd.concat(list(batches)).sort_values("us", kind="stable").drop_duplicates("us")
+        rows = rows[rows["us"] > last]
+        out = pd.DataFrame(columns=["machine_id", "start_us", "fired_us", "duration_h"])
+        if len(rows):
+            inside = (rows["state"] == state).to_numpy()
+            run = np.cumsum(~inside)  # 0 goes on with the run that was open
+            on = pd.DataFrame({"run": run[inside], "us": rows["us"].to_numpy()[inside]})
+            on["start"] = on.groupby("run")["us"].transform("min")
+            if start >= 0:
+                on.loc[on["run"] == 0, "start"] = start
+            on["hours"] = (on["us"] - on["start"]) / 3.6e9
+            new = on[(on["hours"] > threshold_h) & ~((on["run"] == 0) & fired)].groupby("run", as_index=False).first()
+            out = pd.DataFrame({"machine_id": key[0], "start_us": new["start"], "fired_us": new["us"], "duration_h": new["hours"]})
+            fired = bool(inside[-1]) and (run[-1] in set(new["run"]) or (run[-1] == 0 and fired))
+            start = int(on["start"].iloc[-1]) if inside[-1] else -1
+            last = int(rows["us"].iloc[-1])
         held.update((start, last, fired))
-        yield pd.DataFrame(out, columns=["machine_id", "start_us", "fired_us", "duration_h"])
+        held.setTimeoutDuration(int(forget_s * 1000))
+        yield out
 
     shipped(events.sparkSession)
     keyed = events.where("machine_id is not null and ts_source is not null").select("machine_id", F.unix_micros("ts_source").alias("us"), "state")
     return keyed.groupBy("machine_id").applyInPandasWithState(
-        update, ALERT, "start bigint, last bigint, fired boolean", "append", GroupStateTimeout.NoTimeout
+        update, ALERT, "start bigint, last bigint, fired boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
@@ -116,6 +124,9 @@ def assemble_stream(points: DataFrame, fields: list[str]) -> DataFrame:
     """
 
     def update(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         at, got = (held.get[0], dict(zip(held.get[1], held.get[2], strict=True))) if held.exists else (-1, {})
         out = []
         for rows in batches:
@@ -130,10 +141,11 @@ def assemble_stream(points: DataFrame, fields: list[str]) -> DataFrame:
                     out.append((key[0], at, *[got[f] for f in fields]))
                     at, got = at + 1, {}
         held.update((at, list(got), list(got.values())))
+        held.setTimeoutDuration(FORGET_S * 1000)
         yield pd.DataFrame(out, columns=["meter", "us", *fields])
 
     shipped(points.sparkSession)
     schema = "meter string, us bigint, " + ", ".join(f"{f} double" for f in fields)
     return points.groupBy("meter").applyInPandasWithState(
-        update, schema, "at bigint, names array<string>, amounts array<double>", "append", GroupStateTimeout.NoTimeout
+        update, schema, "at bigint, names array<string>, amounts array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
     )

@@ -702,6 +702,14 @@ def test_generated_history_end_to_end(spark):
     assert keyed.where("machine_sk is null").count() == 0 and keyed.select("machine_sk").distinct().count() == 4
 
 
+def test_generated_outages_are_gaps(spark):
+    made = generator.history(spark, 2, datetime(2026, 3, 1), 30, 60, outage_share=0.2, duplicate_share=0.0, late_share=0.0).withColumn("ingest_id", F.monotonically_increasing_id())
+    hours = made.groupBy("meter_id", F.date_trunc("hour", "ts_source").alias("h")).count().collect()
+    assert 30 < len(hours) < 60 and {r["count"] for r in hours} <= {59, 60, 61}
+    gaps = intervals.counter_deltas(quality.valid_readings(made, R), R).where("is_gap").count()
+    assert gaps > 3
+
+
 def test_arrival_numbers_and_newest(frame):
     rows = quality.deliveries(frame([reading(1, 5), reading(2, 1), reading(3, 3, ts_edge=None), reading(4, 2, meter_id="E2"), reading(5, 1)]))
     assert {r.ingest_id: r.arrival_no for r in realtime.arrival_numbers(rows).collect()} == {2: 0, 5: 1, 1: 2, 4: 0}
@@ -767,9 +775,10 @@ def test_scratch_is_released(spark, frame, tmp_path):
 
     out = spikes.implausible_readings(frame([reading(i, i) for i in range(20)]))
     assert out.count() == 0
-    names, folder = list(session.scratch_names(spark)), Path(session.shared_dir(spark))
-    assert names and session.release(spark) >= len(names)
-    assert not any(spark.catalog.tableExists(n) for n in names) and not list(folder.glob("slices-*"))
+    names, own = list(session.scratch_names(spark)), Path(session.scratch_path(spark, "own"))
+    own.mkdir(parents=True)
+    assert names and session.release(spark) > len(names)
+    assert not own.exists() and not any(spark.catalog.tableExists(n) for n in names)
     assert session.release(spark) == 0
 
 
