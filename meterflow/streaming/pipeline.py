@@ -75,20 +75,17 @@ def power_windows(events: DataFrame, width: str = "1 minute", delay: str = "10 m
 
 
 ALERT = "machine_id string, start_us bigint, fired_us bigint, duration_h double"
-FORGET_S = 30 * 86400  # a key that is silent for so long loses its state
 
 
-def long_run_alerts(events: DataFrame, state: str, threshold_h: float, forget_s: float = FORGET_S) -> DataFrame:
+def long_run_alerts(events: DataFrame, state: str, threshold_h: float) -> DataFrame:
     """One row when a machine's run of ``state`` first exceeds the threshold; again only in its next run.
 
-    Keeps per machine the start of the run, the last time seen and whether it fired, and drops them when the machine
-    has been silent for ``forget_s``. Late rows (before the last time seen) are ignored, of equal times the first counts.
+    Keeps three values per machine: the start of the run, the last time seen and whether it fired. They do not expire: a
+    processing-time limit would keep a run over available data from ending, an event-time limit would drop machines that
+    are replayed behind others. Late rows (before the last time seen) are ignored, of equal times the first counts.
     """
 
     def update(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
         start, last, fired = held.get if held.exists else (-1, -1, False)
         rows = pd.concat(list(batches)).sort_values("us", kind="stable").drop_duplicates("us")
         rows = rows[rows["us"] > last]
@@ -107,13 +104,12 @@ def long_run_alerts(events: DataFrame, state: str, threshold_h: float, forget_s:
             start = int(on["start"].iloc[-1]) if inside[-1] else -1
             last = int(rows["us"].iloc[-1])
         held.update((start, last, fired))
-        held.setTimeoutDuration(int(forget_s * 1000))
         yield out
 
     shipped(events.sparkSession)
     keyed = events.where("machine_id is not null and ts_source is not null").select("machine_id", F.unix_micros("ts_source").alias("us"), "state")
     return keyed.groupBy("machine_id").applyInPandasWithState(
-        update, ALERT, "start bigint, last bigint, fired boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
+        update, ALERT, "start bigint, last bigint, fired boolean", "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -124,9 +120,6 @@ def assemble_stream(points: DataFrame, fields: list[str]) -> DataFrame:
     """
 
     def update(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
         at, got = (held.get[0], dict(zip(held.get[1], held.get[2], strict=True))) if held.exists else (-1, {})
         out = []
         for rows in batches:
@@ -141,11 +134,10 @@ def assemble_stream(points: DataFrame, fields: list[str]) -> DataFrame:
                     out.append((key[0], at, *[got[f] for f in fields]))
                     at, got = at + 1, {}
         held.update((at, list(got), list(got.values())))
-        held.setTimeoutDuration(FORGET_S * 1000)
         yield pd.DataFrame(out, columns=["meter", "us", *fields])
 
     shipped(points.sparkSession)
     schema = "meter string, us bigint, " + ", ".join(f"{f} double" for f in fields)
     return points.groupBy("meter").applyInPandasWithState(
-        update, schema, "at bigint, names array<string>, amounts array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        update, schema, "at bigint, names array<string>, amounts array<double>", "append", GroupStateTimeout.NoTimeout
     )
